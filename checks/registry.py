@@ -7,9 +7,11 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from scenegrade import configure
 from scenegrade.fixtures import documents as D
 from scenegrade.functions import json_docs as J
+from scenegrade.operators import consensus as C
 from scenegrade.operators import rates
 from scenegrade.operators.score import METRICS, score_pairs
 from scenegrade.operators.validate import error_summary, with_validation
+from scenegrade.plans import gold as G
 from scenegrade.plans import leaderboard as L
 
 QUERIES = {}
@@ -100,3 +102,57 @@ def model_summary(spark, sf_dir):
     unweighted = [c for c in means if not c.startswith("weight_")]
     ranked = L.ranked(summary)
     return rounded(ranked.select("model", "n_videos", *unweighted), unweighted)
+
+
+def runs(spark, sf_dir):
+    """Parsed teacher runs, stem and run number read from the file names."""
+    files = D.run_texts(spark, sf_dir).select("file_name", "text")
+    return C.with_validity(J.parse_documents(C.gather_runs(files)))
+
+
+@query
+def run_gate(spark, sf_dir):
+    return C.run_gate(runs(spark, sf_dir), min_valid=5)
+
+
+@query
+def rejected_runs(spark, sf_dir):
+    return runs(spark, sf_dir).filter("not valid").select("stem", "run", "reject_reason")
+
+
+@query
+def consensus_slots(spark, sf_dir):
+    return rounded(C.slots(C.consensus(runs(spark, sf_dir))), ["confidence"])
+
+
+@query
+def consensus_lanes(spark, sf_dir):
+    lanes = C.visible_lanes(C.consensus(runs(spark, sf_dir)))
+    return rounded(lanes, ["status_confidence", "density_confidence"])
+
+
+@query
+def consensus_vehicle_events(spark, sf_dir):
+    return rounded(C.vehicle_events(C.consensus(runs(spark, sf_dir))), ["confidence"])
+
+
+@query
+def consensus_pedestrian_events(spark, sf_dir):
+    return rounded(C.pedestrian_events(C.consensus(runs(spark, sf_dir))), ["confidence"])
+
+
+@query
+def consensus_observations(spark, sf_dir):
+    voted = C.observations(C.consensus(runs(spark, sf_dir)))
+    return rounded(voted.withColumn("members", F.array_join("members", ",")), ["confidence"])
+
+
+@query
+def consensus_risk(spark, sf_dir):
+    voted = C.overall_risk(C.consensus(runs(spark, sf_dir)))
+    return rounded(voted.withColumn("main_risk_factors", F.array_join("main_risk_factors", ",")), ["confidence"])
+
+
+@query
+def consensus_documents(spark, sf_dir):
+    return G.gold_documents(runs(spark, sf_dir), min_valid=3)

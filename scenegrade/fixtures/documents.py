@@ -5,6 +5,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from scenegrade.fixtures import rules as R
+from scenegrade.functions.json_docs import computed_once
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -210,9 +211,8 @@ def _documents(spark, sf_dir, versions) -> DataFrame:
         .withColumn("n_lines", F.size("lines"))
         .repartition(_partitions(spark), "k")  # few input bytes, much text: do not coalesce
         .withColumn("m", F.explode(F.array(*[F.lit(v).cast("bigint") for v in versions])))
-        .withColumn("full", F.expr(_text()))
     )
-    return base.select(
+    return computed_once(base, "full", F.expr(_text())).select(
         "k",
         "m",
         F.concat(F.lit("clip_"), F.col("k").cast("string")).alias("video_id"),

@@ -16,30 +16,33 @@ def col(c):
     return F.col(c) if isinstance(c, str) else c
 
 
+def computed_once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Add an expensive column that filters above will not duplicate.
+
+    Catalyst copies a column's expression into every filter it pushes below the
+    projection. It does not push through a generator, so the value is emitted by
+    one that yields exactly one row.
+    """
+    return df.select("*", F.explode_outer(F.array(value)).alias(name))
+
+
 def parse_documents(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Add ``obj`` (VARIANT or NULL) and ``parse_ok``: whole text is one JSON object.
+    """Add ``json_ok`` (whole text is one JSON value), ``parse_ok`` (that value is an
+    object) and ``obj`` (the object as VARIANT, else NULL).
 
     ``try_parse_json`` stops at the end of the first value, so the text is parsed
     inside an array whose last element is a hash of the text. Anything after the
-    object either changes the element count, hides the hash or breaks the parse.
+    value either changes the element count, hides the hash or breaks the parse.
     """
     seal = F.hex(F.xxhash64(text))
+    wrapped = F.try_parse_json(F.concat(F.lit("["), F.col(text), F.lit(',"'), seal, F.lit('"]')))
+    sealed = (F.try_variant_get("_wrapped", "$[1]", "string") == seal) & F.try_variant_get(
+        "_wrapped", "$[2]", "variant"
+    ).isNull()
     return (
-        docs.withColumn(
-            "_wrapped",
-            F.when(
-                F.col(text).rlike(r"^[ \t\r\n]*\{"),
-                F.try_parse_json(F.concat(F.lit("["), F.col(text), F.lit(',"'), seal, F.lit('"]'))),
-            ),
-        )
-        .withColumn(
-            "parse_ok",
-            F.coalesce(
-                (F.try_variant_get("_wrapped", "$[1]", "string") == seal)
-                & F.try_variant_get("_wrapped", "$[2]", "variant").isNull(),
-                F.lit(False),
-            ),
-        )
+        computed_once(docs, "_wrapped", wrapped)
+        .withColumn("json_ok", F.coalesce(sealed, F.lit(False)))
+        .withColumn("parse_ok", F.col("json_ok") & F.col(text).rlike(r"^[ \t\r\n]*\{"))
         .withColumn("obj", F.when(F.col("parse_ok"), F.try_variant_get("_wrapped", "$[0]", "variant")))
         .drop("_wrapped")
     )

@@ -44,12 +44,18 @@ def teacher_run_stem(name) -> Column:
 
 
 def raw_run(name) -> Column:
-    """``struct<stem, run>`` of a raw teacher run, NULL for other files."""
+    """``struct<stem, run, padding>`` of a raw teacher run, NULL for other files.
+
+    ``padding`` counts leading zeros: ``run_01`` and ``run_1`` are both run 1.
+    """
+    digits = F.regexp_extract(col(name), RAW_RUN, 2)
+    run = digits.cast("bigint")
     return F.when(
         col(name).rlike(RAW_RUN),
         F.struct(
             F.regexp_extract(col(name), RAW_RUN, 1).alias("stem"),
-            F.regexp_extract(col(name), RAW_RUN, 2).cast("int").alias("run"),
+            run.alias("run"),
+            (F.length(digits) - F.length(run.cast("string"))).alias("padding"),
         ),
     )
 
