@@ -129,34 +129,34 @@ def rejected_runs(spark, sf_dir):
 
 @query
 def consensus_slots(spark, sf_dir):
-    return rounded(C.slots(C.consensus(runs(spark, sf_dir))), ["confidence"])
+    return rounded(C.slots(C.consensus(runs(spark, sf_dir), ["road", "env"])), ["confidence"])
 
 
 @query
 def consensus_lanes(spark, sf_dir):
-    lanes = C.visible_lanes(C.consensus(runs(spark, sf_dir)))
+    lanes = C.visible_lanes(C.consensus(runs(spark, sf_dir), ["road", "lane"]))
     return rounded(lanes, ["status_confidence", "density_confidence"])
 
 
 @query
 def consensus_vehicle_events(spark, sf_dir):
-    return rounded(C.vehicle_events(C.consensus(runs(spark, sf_dir))), ["confidence"])
+    return rounded(C.vehicle_events(C.consensus(runs(spark, sf_dir), ["veh"])), ["confidence"])
 
 
 @query
 def consensus_pedestrian_events(spark, sf_dir):
-    return rounded(C.pedestrian_events(C.consensus(runs(spark, sf_dir))), ["confidence"])
+    return rounded(C.pedestrian_events(C.consensus(runs(spark, sf_dir), ["ped"])), ["confidence"])
 
 
 @query
 def consensus_observations(spark, sf_dir):
-    voted = C.observations(C.consensus(runs(spark, sf_dir)))
+    voted = C.observations(C.consensus(runs(spark, sf_dir), ["obs"]))
     return rounded(voted.withColumn("members", F.array_join("members", ",")), ["confidence"])
 
 
 @query
 def consensus_risk(spark, sf_dir):
-    voted = C.overall_risk(C.consensus(runs(spark, sf_dir)))
+    voted = C.overall_risk(C.consensus(runs(spark, sf_dir), ["risk"]))
     return rounded(voted.withColumn("main_risk_factors", F.array_join("main_risk_factors", ",")), ["confidence"])
 
 

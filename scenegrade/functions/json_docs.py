@@ -11,6 +11,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 WHITESPACE = r"[\s\x1c-\x1f]"  # with (?U): what Python's str.strip() removes
 
+# the same for a JSON string as it is written, quotes and escapes included
+BLANK_STRING = r'(?U)^"(?:[\s\x1c-\x1f]|\\[nrtf]|\\u000[Bb]|\\u001[C-Fc-f])*"$'
+
 
 def col(c):
     return F.col(c) if isinstance(c, str) else c
@@ -21,9 +24,11 @@ def computed_once(df: DataFrame, name: str, value: Column) -> DataFrame:
 
     Catalyst copies a column's expression into every filter it pushes below the
     projection. It does not push through a generator, so the value is emitted by
-    one that yields exactly one row.
+    one that yields exactly one row. The value itself stays in a projection, which
+    is compiled; generator expressions are not when they are large.
     """
-    return df.select("*", F.explode_outer(F.array(value)).alias(name))
+    ready = df.withColumn("_once", value)
+    return ready.select(*df.columns, F.explode_outer(F.array("_once")).alias(name))
 
 
 def parse_documents(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -145,6 +150,11 @@ def strip(text) -> Column:
     return F.regexp_replace(col(text), rf"(?U)^{WHITESPACE}+|{WHITESPACE}+$", "")
 
 
+def is_word(j: Column) -> Column:
+    """Leaf text is a JSON string with something else than whitespace in it."""
+    return is_string(j) & ~j.rlike(BLANK_STRING)
+
+
 def is_blank(text: Column) -> Column:
     return strip(text) == ""
 
