@@ -4,12 +4,16 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from scenegrade.llm.common import open_row, tasks_for, with_row
 
+#: Characters of a text that splitters hold.
+PREFIX = 32
+
 
 def exact_duplicates(df: DataFrame, keep: str = "smallest", id_column: str = "doc_id", text_column: str = "text"):
     """Groups of rows with identical text; one row stays of each.
 
-    Sampled splitters range-partition the text bytes, an external sort places equal texts side by side, and each run
-    of equal neighbours, compared in full, is numbered. A text whose copies exceed a fair share of one task
+    Sampled splitters range-partition the texts by their first PREFIX characters and a 64-bit hash (so samples stay
+    small however long texts are), an external sort by these and the whole text places equal texts side by side, and
+    each run of equal neighbours, compared in full, is numbered. A text whose copies exceed a fair share of one task
     would land in one range whole; such texts (at most four per task, found by exact counts of 64-bit hashes) are
     aggregated on the map side instead, grouped by the full text.
 
@@ -29,12 +33,13 @@ def exact_duplicates(df: DataFrame, keep: str = "smallest", id_column: str = "do
     # Fewer than 4 * parts hashes can hold more than total / (4 * parts) rows each.
     hot = counts.filter(F.col("n") > F.lit(max(8, rows.count() // (4 * parts)))).select("h")
 
-    run = Window.partitionBy("text").orderBy(order)
+    run = Window.partitionBy("prefix", "h", "text").orderBy(order)
     whole = run.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     result = ["doc_id", "text_sha256", "keep_id", "group_size", "kept", "text", "was_null", "row"]
     sorted_texts = (
         rows.join(F.broadcast(hot), "h", "left_anti")
-        .repartitionByRange(parts, "text")
+        .withColumn("prefix", F.substring("text", 1, PREFIX))
+        .repartitionByRange(parts, "prefix", "h")
         .withColumn("place", F.row_number().over(run))
         .withColumn("keep_id", F.first("doc_id").over(run))
         .withColumn("group_size", F.count(F.lit(1)).over(whole))
