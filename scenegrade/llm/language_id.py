@@ -29,15 +29,18 @@ class Model:
 def sample(rows: DataFrame, per_language: int, longest: int) -> DataFrame:
     """At most `per_language` different texts (lang, text) of each language: those with the smallest text hashes.
 
-    Only hashes are ranked, with a limit on the map side. Texts over `longest` bytes and null languages don't count.
+    A first pass estimates the number of different texts of each language; the second ranks only those below the hash
+    that leaves about twice as many as wanted. Texts over `longest` bytes and null languages don't count.
     """
-    rows = rows.filter(F.col("lang").isNotNull() & (F.octet_length("text") <= longest))
-    keyed = rows.withColumn("h", F.xxhash64("text"))
+    rows = rows.filter(F.col("lang").isNotNull() & (F.octet_length("text") <= longest)).withColumn("h", F.xxhash64("text"))
+    sizes = rows.groupBy("lang").agg(F.approx_count_distinct("h").alias("n"))
+    share = F.least(F.lit(1.0), F.lit(2.0 * per_language + 50) / F.col("n"))
+    # One row for each language.
+    below = sizes.select("lang", ((share * 2.0**64) - 2.0**63).alias("limit"))
+    few = rows.join(F.broadcast(below), "lang").filter(F.col("h") <= F.col("limit"))
+    few = few.groupBy("lang", "h").agg(F.min("text").alias("text"))
     place = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
-    last = keyed.select("lang", "h").distinct().withColumn("place", place).filter(F.col("place") <= per_language)
-    chosen = last.select("lang", "h")
-    # per_language rows for each language, so the broadcast and what is trained on are bounded.
-    return keyed.join(F.broadcast(chosen), ["lang", "h"]).groupBy("lang", "h").agg(F.min("text").alias("text")).drop("h")
+    return few.withColumn("place", place).filter(F.col("place") <= per_language).select("lang", "text")
 
 
 def train(texts: list[tuple[str, bytes]], contexts: int = 8000, least: int = 2) -> Model | None:
