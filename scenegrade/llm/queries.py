@@ -72,7 +72,7 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    rules = spark.sql(f"SELECT * FROM VALUES {_RULES} AS t(host, path, verdict)")
     return url_filter.judge_urls(table(spark, sf_dir, "pages"), rules)
 
 
