@@ -16,7 +16,8 @@ class Settings:
     """Shingle length; percent of overlap for a link; bands of rows minima each; low bits kept of every minimum.
 
     A pair at 80 percent shares no band with probability (1 - 0.8**4)**40, below 1e-9. `slack` is the number of
-    standard deviations by which an estimate may fall short of the limit before a candidate is given up unseen.
+    standard deviations by which an estimate may fall short of the limit before a candidate is given up unseen. `block`,
+    `bundle` and `portion` bound the documents that one task compares at a time.
     """
 
     words: int = 5
@@ -26,6 +27,8 @@ class Settings:
     bits: int = 4
     slack: float = 6.0
     block: int = 1000
+    bundle: int = 128
+    portion: int = 2000
 
     def least_equal(self) -> int:
         """Equal b-bit values that a candidate must show: the expectation at the limit, less the slack."""
@@ -140,61 +143,71 @@ def likely(pairs: DataFrame, settings: Settings) -> DataFrame:
     return pairs.mapInArrow(run, "u bigint, v bigint")
 
 
-def cross_pairs(members: DataFrame, settings: Settings) -> DataFrame:
-    """Likely pairs (u, v) of different components within buckets; members: key, i, j, side, doc_id, component, n, signature.
+def requests(members: DataFrame, settings: Settings) -> DataFrame:
+    """(u, c): document u of a smaller component looks likely to link with some member of component c.
 
-    (key, i, j) is a pair of blocks of a bucket, so a group is bounded by two blocks; within it all pairs are compared
-    by bit counts and size ratio, and only likely ones leave the task.
+    members: key, i, j, side, doc_id, component, of (size of the component), n_shingles, signature. (key, i, j) is a pair
+    of blocks of a bucket, so a group is bounded by two blocks; within it all pairs are compared by bit counts and
+    size ratio. What leaves the task are documents with components, not pairs.
     """
     limit = settings.least_equal()
 
-    def pairs_of(group):
-        ids, comp, n, side, sig = group
+    def found_in(group):
+        ids, comp, of, n, side = (group.column(c).to_numpy() for c in ("doc_id", "component", "of", "n_shingles", "side"))
+        sig = _matrix(group.column("signature"))
         left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
         same = not len(right)
-        right = left if same else right
         for k, p in enumerate(left):
-            q = right[k + 1 :] if same else right
+            q = left[k + 1 :] if same else right
             q = q[(comp[q] != comp[p]) & (100 * np.minimum(n[q], n[p]) >= settings.percent * np.maximum(n[q], n[p]))]
             q = q[equal_values(sig[q], sig[p][None], settings) >= limit] if len(q) else q
             if len(q):
-                yield np.minimum(ids[q], ids[p]), np.maximum(ids[q], ids[p])
-
-    def emit(found):
-        if found:
-            u, v = (np.concatenate(x) for x in zip(*found))
-            pair = np.unique(np.stack([u, v], 1), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1])], names=["u", "v"])
+                smaller = (of[p] < of[q]) | (of[p] == of[q]) & (comp[p] < comp[q])
+                yield np.where(smaller, ids[p], ids[q]), np.where(smaller, comp[q], comp[p])
 
     def run(batches):
-        rest, found, size = None, [], 0
-        for batch in batches:
-            rest = batch if rest is None else pa.concat_batches([rest, batch])
-            key = np.stack([rest.column(c).to_numpy() for c in ("key", "i", "j")], 1)
-            heads = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]).any(1)]) if len(key) else np.zeros(0, int)
-            if len(heads) < 2:
-                continue
-            for a, b in zip(heads[:-1], heads[1:]):
-                found += pairs_of(arrays(rest.slice(a, b - a)))
-            rest = rest.slice(heads[-1])
-            if sum(len(u) for u, _ in found) > 100_000:
-                yield from emit(found)
-                found = []
-        if rest is not None and len(rest):
-            found += pairs_of(arrays(rest))
-        yield from emit(found)
-
-    def arrays(batch):
-        ids, comp, n, side = (batch.column(c).to_numpy() for c in ("doc_id", "component", "n_shingles", "side"))
-        return ids, comp, n, side, _matrix(batch.column("signature"))
-
-    return members.mapInArrow(run, "u bigint, v bigint").distinct()
+        seen, size = [], 0
+        for group in runs(batches, ["key", "i", "j"]):
+            for u, c in found_in(group):
+                seen.append((u, c))
+                size += len(u)
+                if size > 200_000:
+                    seen, size = [distinct_pairs(seen)], 0
+            if len(seen) and len(seen[0][0]) > 100_000:
+                yield pair_batch(seen, ["u", "c"])
+                seen, size = [], 0
+        if seen:
+            yield pair_batch(seen, ["u", "c"])
 
+    return members.mapInArrow(run, "u bigint, c bigint").distinct()
 
-def confirmed(pairs: DataFrame, docs: DataFrame, settings: Settings) -> DataFrame:
-    """Those of the pairs (u, v) whose full shingle sets overlap enough. Only the sets of their documents are made."""
-    wanted = pairs.select(F.col("u").alias("doc_id")).union(pairs.select(F.col("v").alias("doc_id"))).distinct()
-    texts = docs.join(wanted, "doc_id", "left_semi").select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("text"))
+
+def distinct_pairs(found: list) -> tuple[np.ndarray, np.ndarray]:
+    pairs = np.unique(np.stack([np.concatenate(x) for x in zip(*found)], 1), axis=0)
+    return pairs[:, 0], pairs[:, 1]
+
+
+def pair_batch(found: list, names: list[str]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in distinct_pairs(found)], names=names)
+
+
+def runs(batches, key: list[str]):
+    """Record batches of the consecutive rows with equal integer keys, of sorted batches."""
+    rest = None
+    for batch in batches:
+        rest = batch if rest is None or not len(rest) else pa.concat_batches([rest, batch])
+        keys = np.stack([rest.column(c).to_numpy() for c in key], 1)
+        heads = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]).any(1)]) if len(keys) else np.zeros(0, int)
+        for a, b in zip(heads[:-1], heads[1:]):
+            yield rest.slice(a, b - a)
+        rest = rest.slice(heads[-1]) if len(heads) else rest
+    if rest is not None and len(rest):
+        yield rest
+
+
+def shingle_sets(wanted: DataFrame, docs: DataFrame, settings: Settings) -> DataFrame:
+    """doc_id, codes (sorted 64-bit hashes) of the whole texts of the wanted documents, stored."""
+    texts = docs.join(wanted.distinct(), "doc_id", "left_semi").select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("text"))
 
     def sets(batches):
         for batch in batches:
@@ -203,7 +216,74 @@ def confirmed(pairs: DataFrame, docs: DataFrame, settings: Settings) -> DataFram
             made = [shingles(data[a:b], settings.words).tobytes() for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(made, pa.binary())], names=["doc_id", "codes"])
 
-    codes = stored(texts.mapInArrow(sets, "doc_id bigint, codes binary"), "sets")
+    return stored(texts.mapInArrow(sets, "doc_id bigint, codes binary"), "sets")
+
+
+def confirmed_requests(asked: DataFrame, members: DataFrame, docs: DataFrame, settings: Settings) -> DataFrame:
+    """A link (u, v) for each request (u, c) that a full comparison with all members v of c confirms (doc_id, component).
+
+    The documents that ask one component are dealt into bundles, its members into portions; a task holds the sets of one
+    bundle and compares the members of one portion with all of them at once. One link for each is enough.
+    """
+    portion = F.ceil(F.col("n_members") / F.lit(settings.portion)).cast("int")
+    bundle = F.ceil(F.col("n_asking") / F.lit(settings.bundle)).cast("int")
+    sizes = members.groupBy(F.col("component").alias("c")).agg(F.count(F.lit(1)).alias("n_members"))
+    plan = asked.groupBy("c").agg(F.count(F.lit(1)).alias("n_asking")).join(sizes, "c")
+    plan = stored(plan.select("c", bundle.alias("bundles"), portion.alias("portions")), "plan")
+    upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    mine = lambda n: F.pmod(F.xxhash64("doc_id"), F.col(n)).cast("int")
+    left = asked.withColumnRenamed("u", "doc_id").join(plan, "c").select("c", mine("bundles").alias("i"), upto("portions").alias("j"), F.lit(0).alias("side"), "doc_id")
+    right = members.withColumnRenamed("component", "c").join(plan, "c").select("c", upto("bundles").alias("i"), mine("portions").alias("j"), F.lit(1).alias("side"), "doc_id")
+    rows = stored(left.union(right), "asked")
+    sets = shingle_sets(rows.select("doc_id"), docs, settings)
+    rows = rows.join(sets, "doc_id").repartition(tasks_for(docs), "c", "i", "j").sortWithinPartitions("c", "i", "j", "side", "doc_id")
+
+    def run(batches):
+        key, ids, held, ready, done = None, [], [], None, None
+        for batch in batches:
+            found = []
+            at, data = flat(batch.column("codes"))
+            data, at = data.view(np.uint64), at // 8
+            keys = zip(*(batch.column(c).to_pylist() for c in ("c", "i", "j")))
+            sides, docs_here = (batch.column(c).to_pylist() for c in ("side", "doc_id"))
+            for k, this in enumerate(keys):
+                codes = data[at[k] : at[k + 1]]
+                if this != key:
+                    key, ids, held, ready = this, [], [], None
+                if sides[k] == 0:
+                    ids.append(docs_here[k])
+                    held.append(codes.copy())
+                    continue
+                if not ids:
+                    continue
+                if ready is None:
+                    sizes = np.array([len(x) for x in held])
+                    owner = np.repeat(np.arange(len(held)), sizes)
+                    order = np.argsort(np.concatenate(held), kind="stable")
+                    ready, done = (np.concatenate(held)[order], owner[order], sizes), np.zeros(len(held), bool)
+                if done.all():
+                    continue
+                pool, owner, sizes = ready
+                a, b = np.searchsorted(pool, codes), np.searchsorted(pool, codes, "right")
+                n = b - a
+                hits = np.repeat(a - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
+                common = np.bincount(owner[hits], minlength=len(ids))
+                link = 100 * common >= settings.percent * (sizes + len(codes) - common)
+                for g in np.flatnonzero(link & ~done):
+                    if ids[g] != docs_here[k]:
+                        done[g] = True
+                        found.append((ids[g], docs_here[k]))
+            if found:
+                u, v = zip(*found)
+                yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+
+    return rows.select("c", "i", "j", "side", "doc_id", "codes").mapInArrow(run, "u bigint, v bigint")
+
+
+def confirmed(pairs: DataFrame, docs: DataFrame, settings: Settings) -> DataFrame:
+    """Those of the pairs (u, v) whose full shingle sets overlap enough. Only the sets of their documents are made."""
+    wanted = pairs.select(F.col("u").alias("doc_id")).union(pairs.select(F.col("v").alias("doc_id")))
+    codes = shingle_sets(wanted, docs, settings)
     both = pairs.join(codes.toDF("u", "cu"), "u").join(codes.toDF("v", "cv"), "v")
 
     def compare(batches):
@@ -225,9 +305,10 @@ def near_duplicates(documents: DataFrame, settings: Settings = Settings()) -> Da
     """One row per row of `documents`: doc_id, n_shingles, component_id, kept (doc_id = component_id).
 
     Documents with equal sets form a class, represented by its smallest id. Representatives meet in buckets of equal
-    band keys. First, each is compared with the smallest of each bucket (as many pairs as bucket rows);
-    then all pairs within a bucket that are still in different components are compared by their signatures, in
-    blocks, so hot buckets are spread over tasks. Every candidate is confirmed on full sets. Nothing is capped.
+    band keys. First, each is compared with the smallest of each bucket (as many pairs as bucket rows). Then
+    signatures are compared within buckets, in blocks, for documents still in different components; where a pair looks
+    likely, the document of the smaller component is compared with all members of the other. Every link is confirmed on
+    full sets, and nothing is capped.
 
     Words are lower-cased A-Z only. Null, empty and blank texts have no shingles, are linked with nothing and kept.
     Rows with the same id count as one node, so all their texts share a component. Rows with a null id are linked
@@ -251,17 +332,17 @@ def near_duplicates(documents: DataFrame, settings: Settings = Settings()) -> Da
     first = stored(confirmed(stored(likely(signed.select("u", "v", "su", "sv"), settings), "candidates"), docs, settings), "confirmed")
 
     groups = components(first)
-    own = F.coalesce("component", "doc_id").alias("component")
-    members = buckets.select("key", "doc_id", "n_shingles", "size").join(groups.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "doc_id", "n_shingles", "size", own)
-    members = stored(members, "members")
+    sized = groups.join(groups.groupBy("component").agg(F.count(F.lit(1)).alias("of")), "component").withColumnRenamed("node", "doc_id")
+    own = [F.coalesce("component", "doc_id").alias("component"), F.coalesce("of", F.lit(1)).alias("of")]
+    members = stored(buckets.select("key", "doc_id", "n_shingles", "size").join(sized, "doc_id", "left").select("key", "doc_id", "n_shingles", "size", *own), "members")
     mixed = members.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).filter("a < b").select("key")
     blocks = F.ceil(F.col("size") / F.lit(settings.block)).cast("int")
     dealt = members.join(mixed, "key", "left_semi").withColumn("blocks", blocks).withColumn("mine", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
     others = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least("mine", o).alias("i"), F.greatest("mine", o).alias("j"), (F.col("mine") > o).cast("int").alias("side")))
-    tasks = dealt.withColumn("block", F.explode(others)).select("key", "block.i", "block.j", "block.side", "doc_id", "component", "n_shingles")
-    parts = tasks_for(documents)
-    tasks = tasks.join(signs, "doc_id").repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j")
-    second = confirmed(stored(cross_pairs(tasks, settings), "candidates"), docs, settings)
+    tasks = dealt.withColumn("block", F.explode(others)).select("key", "block.i", "block.j", "block.side", "doc_id", "component", "of", "n_shingles")
+    tasks = tasks.join(signs, "doc_id").repartition(tasks_for(documents), "key", "i", "j").sortWithinPartitions("key", "i", "j")
+    asked = stored(requests(tasks, settings), "requests")
+    second = confirmed_requests(asked, members.select("doc_id", "component").distinct(), docs, settings)
 
     found = components(first.union(second).union(copies))
     out = sketch.select("doc_id", "n_shingles").join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left")
