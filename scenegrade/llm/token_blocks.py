@@ -1,5 +1,6 @@
 """Token ids in binary files of patched frame-of-reference blocks."""
 
+import os
 import re
 import struct
 import uuid
@@ -18,7 +19,7 @@ HEAD = struct.Struct("<IHHB")  # block minimum, ids, exceptions, packed width
 TAIL = struct.Struct("<QQ4s")  # blocks, ids, mark
 MARK = b"pfor"
 #: Words whose ids a worker remembers.
-REMEMBERED = 400_000
+REMEMBERED = 800_000
 
 
 def _pack(values: np.ndarray, width: int) -> bytes:
@@ -135,18 +136,40 @@ class Encoder:
     """
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True  # in a text their strings are ordinary text
+        n = self.library.get_vocab_size()
+        self.begins = np.array([(self.library.id_to_token(i) or "").startswith("Ġ") for i in range(n)])
         self.known: dict[str, bytes] = {}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _learn(self, words: list[str]) -> None:
+        """Ids of new words. Those that are a space and then no space at either end are encoded side by side, as in a
+        text; a word begins at each piece that begins with a space."""
+        joined = [w for w in words if w[0] == " " and len(w) > 1 and not w[1].isspace() and not w[-1].isspace()]
+        for a in range(0, len(joined), 4096):
+            part = joined[a : a + 4096]
+            ids = np.array(self._ids("".join(part)), "<u4")
+            at = np.flatnonzero(self.begins[ids]) * 4
+            if len(at) == len(part):
+                data, ends = ids.tobytes(), [*at[1:].tolist(), 4 * len(ids)]
+                self.known.update(zip(part, [data[x:y] for x, y in zip(at.tolist(), ends)]))
+        rest = [w for w in words if w not in self.known]
+        self.known.update(zip(rest, self._encode(rest)))
+
+    def _ids(self, text: str) -> list[int]:
+        return self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids
+
     def __call__(self, texts: list[str]) -> list[bytes]:
-        known = self.known if len(self.known) < REMEMBERED else {}
-        self.known, known[""] = known, b""
+        if len(self.known) > REMEMBERED:
+            self.known = {}
+        known = self.known
+        known[""] = b""
         out, parts = [], []
         for text in texts:
             words = text.split(" ") if ODD.search(text) is None else None
@@ -154,7 +177,7 @@ class Encoder:
                 words[1:] = [" " + w for w in words[1:]]
             parts.append(words)
         new = list({w for words in parts if words for w in words if w not in known})
-        known.update(zip(new, self._encode(new)))
+        self._learn(new)
         for text, words in zip(texts, parts):
             out.append(self._encode([text])[0] if words is None else b"".join([known[w] for w in words]))
         return out
