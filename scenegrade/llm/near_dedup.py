@@ -137,30 +137,42 @@ def likely(pairs: DataFrame, settings: Settings) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            near = equal_values(_matrix(batch.column("su")), _matrix(batch.column("sv")), settings) >= settings.least_equal()
-            yield batch.select(["u", "v"]).filter(pa.array(near))
+            equal = equal_values(_matrix(batch.column("su")), _matrix(batch.column("sv")), settings)
+            found = pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v"), pa.array(estimate(equal, settings))], names=["u", "v", "similarity"])
+            yield found.filter(pa.array(equal >= settings.least_equal()))
 
-    return pairs.mapInArrow(run, "u bigint, v bigint")
+    return pairs.mapInArrow(run, "u bigint, v bigint, similarity double")
+
+
+def one_sure_hub(pairs: DataFrame, settings: Settings) -> DataFrame:
+    """Of the likely pairs (u, v, similarity) of each v, the one with the smallest u that is well above the limit; all if none is."""
+    sure = F.when(F.col("similarity") >= settings.percent / 100 + 0.05, F.col("u"))
+    best = pairs.groupBy("v").agg(F.min(sure).alias("hub"))
+    return pairs.join(best, "v").filter(F.col("hub").isNull() | (F.col("hub") == F.col("u"))).select("u", "v")
 
 
 def requests(members: DataFrame, settings: Settings) -> DataFrame:
     """(u, c): document u of a smaller component looks likely to link with some member of component c.
 
-    members: key, i, j, side, doc_id, component, of (size of the component), n_shingles, signature. (key, i, j) is a pair
+    members: key, i, j, side, doc_id, component, of (size of the component), n_shingles, signature, bands. (key, i, j) is a pair
     of blocks of a bucket, so a group is bounded by two blocks; within it all pairs are compared by bit counts and
-    size ratio. What leaves the task are documents with components, not pairs.
+    size ratio, each pair in the first of its buckets. What leaves the task are documents with components, not pairs.
     """
     limit = settings.least_equal()
 
     def found_in(group):
         ids, comp, of, n, side = (group.column(c).to_numpy() for c in ("doc_id", "component", "of", "n_shingles", "side"))
         sig = _matrix(group.column("signature"))
+        bands, key = group.column("bands").flatten().to_numpy().reshape(len(ids), -1), group.column("key")[0].as_py()
         left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
         same = not len(right)
         for k, p in enumerate(left):
             q = left[k + 1 :] if same else right
             q = q[(comp[q] != comp[p]) & (100 * np.minimum(n[q], n[p]) >= settings.percent * np.maximum(n[q], n[p]))]
             q = q[equal_values(sig[q], sig[p][None], settings) >= limit] if len(q) else q
+            if len(q):
+                common = bands[q] == bands[p]
+                q = q[bands[p][common.argmax(axis=1)] == key]  # the first bucket that both share
             if len(q):
                 smaller = (of[p] < of[q]) | (of[p] == of[q]) & (comp[p] < comp[q])
                 yield np.where(smaller, ids[p], ids[q]), np.where(smaller, comp[q], comp[p])
@@ -329,7 +341,7 @@ def near_duplicates(documents: DataFrame, settings: Settings = Settings()) -> Da
     star = buckets.filter(fits & (F.col("doc_id") != F.col("hub.doc_id"))).select(F.col("hub.doc_id").alias("u"), F.col("doc_id").alias("v")).distinct()
     signs = reps.select("doc_id", "signature")
     signed = star.join(signs.toDF("u", "su"), "u").join(signs.toDF("v", "sv"), "v")
-    first = stored(confirmed(stored(likely(signed.select("u", "v", "su", "sv"), settings), "candidates"), docs, settings), "confirmed")
+    first = stored(confirmed(stored(one_sure_hub(stored(likely(signed.select("u", "v", "su", "sv"), settings), "likely"), settings), "candidates"), docs, settings), "confirmed")
 
     groups = components(first)
     sized = groups.join(groups.groupBy("component").agg(F.count(F.lit(1)).alias("of")), "component").withColumnRenamed("node", "doc_id")
@@ -340,7 +352,7 @@ def near_duplicates(documents: DataFrame, settings: Settings = Settings()) -> Da
     dealt = members.join(mixed, "key", "left_semi").withColumn("blocks", blocks).withColumn("mine", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
     others = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least("mine", o).alias("i"), F.greatest("mine", o).alias("j"), (F.col("mine") > o).cast("int").alias("side")))
     tasks = dealt.withColumn("block", F.explode(others)).select("key", "block.i", "block.j", "block.side", "doc_id", "component", "of", "n_shingles")
-    tasks = tasks.join(signs, "doc_id").repartition(tasks_for(documents), "key", "i", "j").sortWithinPartitions("key", "i", "j")
+    tasks = tasks.join(reps.select("doc_id", "signature", "bands"), "doc_id").repartition(tasks_for(documents), "key", "i", "j").sortWithinPartitions("key", "i", "j")
     asked = stored(requests(tasks, settings), "requests")
     second = confirmed_requests(asked, members.select("doc_id", "component").distinct(), docs, settings)
 
