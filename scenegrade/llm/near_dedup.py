@@ -37,6 +37,8 @@ class Settings:
         return int(n * p - self.slack * (n * p * (1 - p)) ** 0.5)
 
 
+#: Ids that a broadcast may hold; beyond, the join is a shuffle.
+BROADCAST_IDS = 2_000_000
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 _words: dict[bytes, int] = {}
 
@@ -219,7 +221,9 @@ def runs(batches, key: list[str]):
 
 def shingle_sets(wanted: DataFrame, docs: DataFrame, settings: Settings) -> DataFrame:
     """doc_id, codes (sorted 64-bit hashes) of the whole texts of the wanted documents, stored."""
-    texts = docs.join(wanted.distinct(), "doc_id", "left_semi").select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("text"))
+    wanted = stored(wanted.distinct(), "wanted")
+    few = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted  # else the texts are dealt by id
+    texts = docs.join(few, "doc_id", "left_semi").select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("text"))
 
     def sets(batches):
         for batch in batches:
