@@ -4,6 +4,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from scenegrade.functions import json_docs as J
 from scenegrade.functions import names as N
+from scenegrade.sources.files import below_root
 
 SPLIT_BUCKETS = 65536
 IGNORED_LABEL = -100
@@ -23,7 +24,7 @@ def pair_by_stem(labels: DataFrame, media: DataFrame):
 
 def relative_stem(path, root: str) -> Column:
     """Path below ``root`` without its last extension."""
-    below = F.substring(J.col(path), F.lit(len(root.rstrip("/")) + 2), F.length(J.col(path)))
+    below = below_root(path, root)
     return F.regexp_replace(below, r"(?<=[^/])\.[^./]+$", "")
 
 
@@ -38,12 +39,18 @@ def pair_by_tree(media: DataFrame, labels: DataFrame, media_root: str, label_roo
     return clips.join(texts, "rel_stem"), clips.join(texts.select("rel_stem"), "rel_stem", "left_anti")
 
 
+_STRING_OR_SPACE = r'("[^"\\]*+(?:\\.[^"\\]*+)*+")|\s+'
+
+
 # ---- labels and metadata -----------------------------------------------------
 def label_texts(pairs: DataFrame, text: str = "text"):
-    """(examples with ``label``, rejects): a JSON string is taken as it is, other JSON is re-serialised."""
+    """(examples with ``label``, rejects): a JSON string is taken as it is, other JSON keeps its text.
+
+    Only white space outside strings goes, so keys stay in order and numbers as they are written.
+    """
     parsed = J.parse_documents(pairs, text).withColumn("_is_text", F.col(text).rlike(r'^\s*"'))
     value = F.when(F.col("_is_text"), F.try_variant_get(F.try_parse_json(text), "$", "string")).otherwise(
-        F.coalesce(F.to_json("obj"), F.to_json(F.try_parse_json(text)))
+        F.regexp_replace(text, _STRING_OR_SPACE, "$1")
     )
     labelled = parsed.withColumn("label", F.when(F.col("json_ok"), value)).select(*pairs.columns, "label")
     return labelled.filter("label is not null"), labelled.filter("label is null").drop("label")

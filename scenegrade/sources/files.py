@@ -5,7 +5,7 @@ plan uses them. Spark skips files whose names start with ``_`` or ``.``; produce
 must not use such names.
 """
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from scenegrade.functions import json_docs as J
 from scenegrade.functions import names as N
@@ -20,6 +20,19 @@ def _files(spark: SparkSession, folder: str, recursive: bool, glob: str | None =
     return reader.load(folder).withColumn("path", F.regexp_replace("path", "^file:/+", "/"))
 
 
+def below_root(path, root: str) -> Column:
+    """Part of a path below ``root``, which may be absolute, relative or a URI: it is qualified as Spark qualifies it."""
+    spark = SparkSession.getActiveSession()
+    given = spark._jvm.org.apache.hadoop.fs.Path(root)
+    system = given.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    full = system.makeQualified(given).toUri().toString()
+    full = ("/" + full[5:].lstrip("/") if full.startswith("file:") else full).rstrip("/")
+    whole, length = J.col(path), F.length(J.col(path))
+    return F.when(whole.startswith(full + "/"), F.substring(whole, F.lit(len(full) + 2), length)).otherwise(
+        F.substring(whole, F.lit(len(root.rstrip("/")) + 2), length)
+    )
+
+
 def json_files(spark: SparkSession, folder: str, recursive: bool = False) -> DataFrame:
     """``path, file_name, text`` of the ``*.json`` files; ``text`` is NULL for bad UTF-8.
 
@@ -59,9 +72,8 @@ def media_files(
     spark: SparkSession, folder: str, extensions=VIDEO_EXTENSIONS, recursive: bool = True, content: bool = False
 ) -> DataFrame:
     """``path, rel_path, length`` (and ``content``) of the media files, extension in any case."""
-    root = folder.rstrip("/")
     files = _files(spark, folder, recursive).filter(N.is_video("path", extensions))
-    columns = ["path", F.expr(f"substring(path, {len(root) + 2})").alias("rel_path"), "length"]
+    columns = ["path", below_root("path", folder).alias("rel_path"), "length"]
     return files.select(*columns, *(["content"] if content else []))
 
 

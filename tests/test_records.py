@@ -69,3 +69,28 @@ def test_folder_job(spark, tmp_path):
     scores, summary = score_folders(spark, str(gold), str(results))
     assert {(r.model, r.parse_ok) for r in scores.collect()} == {("m-1", True), ("m2", False)}
     assert summary.filter("model = 'm-1'").first().global_slot_macro_acc_mean == 1.0
+
+
+def test_labels_keep_their_text(spark):
+    from scenegrade.operators.trainset import label_texts
+
+    texts = ['{ "b": 1.0,\n "a": [2e0, " x : \\" ,y "] }', '"plain"', "{bad"]
+    kept, rejects = label_texts(spark.createDataFrame([(t,) for t in texts], "text string"))
+    assert {r["label"] for r in kept.collect()} == {'{"b":1.0,"a":[2e0," x : \\" ,y "]}', "plain"}
+    assert rejects.count() == 1
+
+
+def test_first_videos_in_file_name_order(spark):
+    from scenegrade.plans.leaderboard import first_videos
+
+    gold = spark.createDataFrame([("cam_4",), ("cam_4-b",)], "video_id string")
+    assert first_videos(gold, 1).first()[0] == "cam_4-b"
+
+
+def test_roots_in_any_spelling(spark, tmp_path):
+    from scenegrade.sources.files import media_files
+
+    (tmp_path / "v/a").mkdir(parents=True)
+    (tmp_path / "v/a/x.mp4").write_bytes(b"x")
+    for root in (f"{tmp_path}/v", f"{tmp_path}/v/", f"file:{tmp_path}/v", f"file://{tmp_path}/v"):
+        assert [r["rel_path"] for r in media_files(spark, root).collect()] == ["a/x.mp4"], root
