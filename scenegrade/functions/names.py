@@ -44,18 +44,20 @@ def teacher_run_stem(name) -> Column:
 
 
 def raw_run(name) -> Column:
-    """``struct<stem, run, padding>`` of a raw teacher run, NULL for other files.
+    """``struct<stem, run, digits, padding>`` of a raw teacher run, NULL for other files.
 
-    ``padding`` counts leading zeros: ``run_01`` and ``run_1`` are both run 1.
+    ``padding`` counts leading zeros: ``run_01`` and ``run_1`` are both run 1. ``digits`` is the run
+    number without them, of any length; ``run`` is the same as a number, NULL beyond 38 digits.
     """
-    digits = F.regexp_extract(col(name), RAW_RUN, 2)
-    run = digits.cast("bigint")
+    written = F.regexp_extract(col(name), RAW_RUN, 2)
+    digits = F.regexp_replace(written, "^0+(?=[0-9])", "")
     return F.when(
         col(name).rlike(RAW_RUN),
         F.struct(
             F.regexp_extract(col(name), RAW_RUN, 1).alias("stem"),
-            run.alias("run"),
-            (F.length(digits) - F.length(run.cast("string"))).alias("padding"),
+            digits.try_cast("decimal(38,0)").alias("run"),
+            digits.alias("digits"),
+            (F.length(written) - F.length(digits)).alias("padding"),
         ),
     )
 
