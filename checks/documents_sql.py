@@ -42,7 +42,7 @@ d AS (
     SELECT *, {R.UNPARSED} AS bad, {R.ERROR_DOC} AS err, concat('clip_', CAST(k AS VARCHAR)) AS video_id
     FROM (
       SELECT o.o_orderkey AS k, v.m AS m, coalesce(c.n_lines, 0) AS n_lines
-      FROM orders o CROSS JOIN range(0, 6) v(m)
+      FROM orders o CROSS JOIN range(0, @VERSIONS) v(m)
       LEFT JOIN (SELECT l_orderkey, count(*) AS n_lines FROM lineitem GROUP BY 1) c ON c.l_orderkey = o.o_orderkey
     )
   )
@@ -96,7 +96,10 @@ slots AS (
 
 
 def scores_ctes(pairs: str) -> str:
-    """CTEs ending in ``scores`` for the (k, t, m) triples of ``pairs``: gold version t, student version m."""
+    """CTEs ending in ``scores`` for the (k, t, m) triples of ``pairs``: gold version t, student version m.
+
+    Each section has a CTE of its own before, so a query on one section builds nothing else.
+    """
     return f"""
 pairs AS ({pairs}),
 slot_hits AS (
@@ -178,47 +181,61 @@ obs_f1 AS (
 factors AS (
   SELECT k, m, list_distinct([{R.FACTOR_1}, {R.FACTOR_2}] || CASE WHEN {R.NUMBER_FACTOR} THEN ['3'] ELSE [] END) AS fs FROM d
 ),
-raw_scores AS (
-  SELECT pr.k, pr.t, pr.m, ds.video_id, ds.bad,
-    r.hits AS road_hits, r.total AS road_total, en.hits AS env_hits, en.total AS env_total,
-    tr.length_hit, tr.hits AS lane_hits, tr.total AS lane_total,
-    v.presence AS vp, v.count_acc AS vc, p.presence AS pp, p.count_acc AS pc,
-    dg.risk_ok AND ds.risk_ok AS risk_ok, 1.0 * ob.hits / ob.total AS obs_acc,
-    coalesce(fi.f1, 0) AS ids_f1, coalesce(fp.f1, 0) AS pairs_f1,
-    CASE WHEN sr.val IS NOT DISTINCT FROM gr.val THEN 1.0 ELSE 0.0 END AS level_acc,
-    2.0 * len(list_intersect(gf.fs, sf.fs)) / (len(gf.fs) + len(sf.fs)) AS factors_f1
+graded AS (
+  SELECT pr.k, pr.t, pr.m, ds.video_id, ds.bad, dg.risk_ok AND ds.risk_ok AS risk_ok
   FROM pairs pr JOIN d ds ON ds.k = pr.k AND ds.m = pr.m JOIN d dg ON dg.k = pr.k AND dg.m = pr.t
-  JOIN slot_hits r ON r.k = pr.k AND r.t = pr.t AND r.m = pr.m AND r.section = 'road'
-  JOIN slot_hits en ON en.k = pr.k AND en.t = pr.t AND en.m = pr.m AND en.section = 'env'
-  JOIN slot_hits ob ON ob.k = pr.k AND ob.t = pr.t AND ob.m = pr.m AND ob.section = 'obs'
-  JOIN traffic tr ON tr.k = pr.k AND tr.t = pr.t AND tr.m = pr.m
-  JOIN events v ON v.k = pr.k AND v.t = pr.t AND v.m = pr.m AND v.kind = 'veh'
-  JOIN events p ON p.k = pr.k AND p.t = pr.t AND p.m = pr.m AND p.kind = 'ped'
-  LEFT JOIN obs_f1 fi ON fi.k = pr.k AND fi.t = pr.t AND fi.m = pr.m AND NOT fi.is_pair
-  LEFT JOIN obs_f1 fp ON fp.k = pr.k AND fp.t = pr.t AND fp.m = pr.m AND fp.is_pair
-  JOIN cells sr ON sr.k = pr.k AND sr.m = pr.m AND sr.section = 'risk'
-  JOIN cells gr ON gr.k = pr.k AND gr.m = pr.t AND gr.section = 'risk'
-  JOIN factors sf ON sf.k = pr.k AND sf.m = pr.m JOIN factors gf ON gf.k = pr.k AND gf.m = pr.t
+),
+road_scores AS (
+  SELECT g.*, h.hits AS road_hits, h.total AS road_total,
+    CASE WHEN NOT bad THEN 1.0 * h.hits / h.total END AS road_composition_slot_macro_acc
+  FROM graded g JOIN slot_hits h ON h.k = g.k AND h.t = g.t AND h.m = g.m AND h.section = 'road'
+),
+environment_scores AS (
+  SELECT g.*, h.hits AS env_hits, h.total AS env_total,
+    CASE WHEN NOT bad THEN 1.0 * h.hits / h.total END AS environmental_conditions_slot_macro_acc
+  FROM graded g JOIN slot_hits h ON h.k = g.k AND h.t = g.t AND h.m = g.m AND h.section = 'env'
+),
+lane_scores AS (
+  SELECT g.*, length_hit, hits AS lane_hits, total AS lane_total,
+    CASE WHEN NOT bad THEN CAST(length_hit AS DOUBLE) END AS traffic_length_acc,
+    CASE WHEN NOT bad THEN CASE WHEN total = 0 THEN 0.0 ELSE 1.0 * hits / total END END AS traffic_per_lane_macro_acc,
+    CASE WHEN NOT bad THEN 1.0 * (length_hit + hits) / (total + 1) END AS traffic_status_macro_acc
+  FROM graded g JOIN traffic tr ON tr.k = g.k AND tr.t = g.t AND tr.m = g.m
+),
+vehicle_scores AS (
+  SELECT g.*, presence AS vp, count_acc AS vc, CASE WHEN NOT bad THEN presence END AS vehicle_presence_f1,
+    CASE WHEN NOT bad THEN count_acc END AS vehicle_count_acc,
+    CASE WHEN NOT bad THEN (presence + count_acc) / 2 END AS vehicle_events_macro_acc
+  FROM graded g JOIN events e ON e.k = g.k AND e.t = g.t AND e.m = g.m AND e.kind = 'veh'
+),
+pedestrian_scores AS (
+  SELECT g.*, presence AS pp, count_acc AS pc, CASE WHEN NOT bad THEN presence END AS pedestrian_presence_f1,
+    CASE WHEN NOT bad THEN count_acc END AS pedestrian_count_acc,
+    CASE WHEN NOT bad THEN (presence + count_acc) / 2 END AS pedestrian_events_macro_acc
+  FROM graded g JOIN events e ON e.k = g.k AND e.t = g.t AND e.m = g.m AND e.kind = 'ped'
+),
+risk_values AS (SELECT k, m, val FROM cells WHERE section = 'risk'),
+risk_scores AS (
+  SELECT g.*,
+    CASE WHEN NOT bad THEN CASE WHEN risk_ok THEN 1.0 * ob.hits / ob.total ELSE 0.0 END END AS risk_obs_macro_acc,
+    CASE WHEN NOT bad THEN CASE WHEN risk_ok THEN coalesce(fi.f1, 0) ELSE 0.0 END END AS risk_vehicle_ids_f1,
+    CASE WHEN NOT bad THEN CASE WHEN risk_ok THEN coalesce(fp.f1, 0) ELSE 0.0 END END AS risk_pairs_f1,
+    CASE WHEN NOT bad THEN CASE WHEN risk_ok AND sr.val IS NOT DISTINCT FROM gr.val THEN 1.0 ELSE 0.0 END END AS overall_risk_level_acc,
+    CASE WHEN NOT bad THEN CASE WHEN risk_ok
+      THEN 2.0 * len(list_intersect(gf.fs, sf.fs)) / (len(gf.fs) + len(sf.fs)) ELSE 0.0 END END AS main_risk_factors_f1
+  FROM graded g JOIN slot_hits ob ON ob.k = g.k AND ob.t = g.t AND ob.m = g.m AND ob.section = 'obs'
+  LEFT JOIN obs_f1 fi ON fi.k = g.k AND fi.t = g.t AND fi.m = g.m AND NOT fi.is_pair
+  LEFT JOIN obs_f1 fp ON fp.k = g.k AND fp.t = g.t AND fp.m = g.m AND fp.is_pair
+  JOIN risk_values sr ON sr.k = g.k AND sr.m = g.m JOIN risk_values gr ON gr.k = g.k AND gr.m = g.t
+  JOIN factors sf ON sf.k = g.k AND sf.m = g.m JOIN factors gf ON gf.k = g.k AND gf.m = g.t
 ),
 scores AS (
-  SELECT k, t, m, video_id, bad,
-    CASE WHEN NOT bad THEN (road_hits + env_hits + length_hit + lane_hits + vp + vc + pp + pc)
+  SELECT k, t, m, r.video_id, r.bad,
+    CASE WHEN NOT r.bad THEN (road_hits + env_hits + length_hit + lane_hits + vp + vc + pp + pc)
       / (road_total + env_total + lane_total + 5) END AS global_slot_macro_acc,
-    CASE WHEN NOT bad THEN 1.0 * road_hits / road_total END AS road_composition_slot_macro_acc,
-    CASE WHEN NOT bad THEN 1.0 * env_hits / env_total END AS environmental_conditions_slot_macro_acc,
-    CASE WHEN NOT bad THEN 1.0 * (length_hit + lane_hits) / (lane_total + 1) END AS traffic_status_macro_acc,
-    CASE WHEN NOT bad THEN (vp + vc) / 2 END AS vehicle_events_macro_acc,
-    CASE WHEN NOT bad THEN (pp + pc) / 2 END AS pedestrian_events_macro_acc,
-    CASE WHEN NOT bad THEN CASE WHEN risk_ok THEN obs_acc ELSE 0.0 END END AS risk_obs_macro_acc,
-    CASE WHEN NOT bad THEN CASE WHEN risk_ok THEN ids_f1 ELSE 0.0 END END AS risk_vehicle_ids_f1,
-    CASE WHEN NOT bad THEN CASE WHEN risk_ok THEN pairs_f1 ELSE 0.0 END END AS risk_pairs_f1,
-    CASE WHEN NOT bad THEN CASE WHEN risk_ok THEN level_acc ELSE 0.0 END END AS overall_risk_level_acc,
-    CASE WHEN NOT bad THEN CASE WHEN risk_ok THEN factors_f1 ELSE 0.0 END END AS main_risk_factors_f1,
-    CASE WHEN NOT bad THEN CAST(length_hit AS DOUBLE) END AS traffic_length_acc,
-    CASE WHEN NOT bad THEN CASE WHEN lane_total = 0 THEN 0.0 ELSE 1.0 * lane_hits / lane_total END END AS traffic_per_lane_macro_acc,
-    CASE WHEN NOT bad THEN vp END AS vehicle_presence_f1, CASE WHEN NOT bad THEN vc END AS vehicle_count_acc,
-    CASE WHEN NOT bad THEN pp END AS pedestrian_presence_f1, CASE WHEN NOT bad THEN pc END AS pedestrian_count_acc
-  FROM raw_scores
+    COLUMNS('_(acc|f1)$')
+  FROM road_scores r JOIN environment_scores USING (k, t, m) JOIN lane_scores USING (k, t, m)
+  JOIN vehicle_scores USING (k, t, m) JOIN pedestrian_scores USING (k, t, m) JOIN risk_scores USING (k, t, m)
 )"""
 
 
@@ -290,5 +307,6 @@ validation AS (
 )"""
 
 
-def with_base(*ctes, select):
-    return "WITH " + ",".join([BASE, *ctes]) + "\n" + select
+def with_base(*ctes, select, versions=6):
+    """``select`` over the document CTEs of versions 0 (gold) up to ``versions`` - 1."""
+    return "WITH " + ",".join([BASE.replace("@VERSIONS", str(versions)), *ctes]) + "\n" + select
