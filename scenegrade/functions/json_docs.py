@@ -84,12 +84,15 @@ def members(v, dotted: str | None = None) -> Column:
 
 
 def canon(j: Column) -> Column:
-    """Equality key of a leaf given as JSON text."""
+    """Equality key of a leaf given as JSON text: integers by their digits, fractions as doubles."""
+    number = j.cast("double")
+    whole = (F.rint(number) == number) & (F.abs(number) < 9e18)
     return (
         F.when(j == "null", F.lit(None).cast("string"))
-        .when(j == "true", F.lit("1.0"))
-        .when(j == "false", F.lit("0.0"))
-        .when(j.rlike("^[-0-9]"), (j.cast("double") + F.lit(0.0)).cast("string"))
+        .when(j == "true", F.lit("1"))
+        .when(j.isin("false", "-0"), F.lit("0"))
+        .when(j.rlike("^-?[0-9]+$"), j)
+        .when(j.rlike("^[-0-9]"), F.when(whole, number.cast("bigint").cast("string")).otherwise(number.cast("string")))
         .otherwise(j)
     )
 

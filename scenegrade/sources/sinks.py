@@ -1,9 +1,10 @@
-"""Writers for reports, documents and split manifests."""
+"""Writers for reports, documents and split manifests. Folders are storage that driver and executors share."""
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, functions as F
 
 from scenegrade.operators.rates import latency_lines
-from scenegrade.plans.leaderboard import details, flat_report, ranked
+from scenegrade.plans.leaderboard import details, flat_report, model_summary, ranked
 
 
 def _csv_ready(df: DataFrame) -> DataFrame:
@@ -33,14 +34,30 @@ def write_details(scores: DataFrame, out: str) -> None:
     details(scores).write.mode("overwrite").json(f"{out}/details.json")
 
 
+def write_reports(scores: DataFrame, out: str, weighted: bool = False) -> DataFrame:
+    """All reports of a scoring job. Scores are computed once; table, CSV, summary and details come from the stored ones."""
+    write_per_video_scores(scores, out)
+    stored = scores.sparkSession.read.parquet(f"{out}/per_video_scores.parquet")
+    write_model_summary(model_summary(stored, weighted), out)
+    write_details(stored, out)
+    return stored
+
+
 def write_gold_documents(documents: DataFrame, out: str) -> None:
     """Integrated or status documents keyed by ``stem``, partitioned by ``status``."""
     documents.write.mode("overwrite").partitionBy("status").parquet(out)
 
 
 def append_results(results: DataFrame, out: str) -> None:
-    """Append result documents of new calls; pending calls exclude the stored ones."""
-    results.write.mode("append").partitionBy("model").parquet(out)
+    """Append the result documents of calls (path, model) without a stored one; writing a batch again adds nothing."""
+    new = results.dropDuplicates(["path", "model"])
+    try:
+        stored = results.sparkSession.read.schema(results.schema).parquet(out)
+        new = new.join(stored.select("path", "model"), ["path", "model"], "left_anti")
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+    new.write.mode("append").partitionBy("model").parquet(out)
 
 
 def write_latency(latency: DataFrame, out: str) -> None:
