@@ -120,6 +120,16 @@ QUERIES = {
     "pending_calls": f"""WITH {_MEDIA}, planned AS (SELECT * FROM media CROSS JOIN (VALUES ('alpha-2b'), ('beta'), ('gamma_x_7b'), ('delta')) v(model))
       SELECT path, model, concat(trim(regexp_replace(concat('question_', stem), '[^A-Za-z0-9._-]+', '_', 'g'), '._-'), '_', replace(model, '-', '_'), '.json') AS file_name
       FROM planned p WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = p.doc_id AND p.model = CASE WHEN quality = 1 THEN 'alpha-2b' ELSE 'beta' END)""",
+    "teacher_run_names": """SELECT o_orderkey AS k,
+        CASE WHEN o_orderkey % 6 IN (0, 1, 4) THEN concat('cam_', CAST(o_orderkey AS STRING)) END AS stem FROM orders""",
+    "first_media": f"WITH {_MEDIA} SELECT doc_id, path FROM media ORDER BY path LIMIT 25",
+    "run_outcomes": f"""WITH {_MEDIA}
+      SELECT path, run, concat(stem, '.teacher.perception_raw.run_', CAST(run AS STRING), '.json') AS file_name,
+        CASE WHEN doc_id % 11 = 0 THEN concat('{{"video":"', path, '","model":"teacher-1","stage":"upload/activate","error":"not active"}}')
+          WHEN (doc_id + run) % 7 = 0 THEN concat('{{"run":', CAST(run AS STRING), ',"stage":"perception_generate_or_parse","error":"run ',
+            CAST(run AS STRING), '","elapsed_s":', CAST(CAST(run / 2 AS DOUBLE) AS STRING), '}}')
+          ELSE concat('{{"doc":', CAST(doc_id AS STRING), '}}') END AS document
+      FROM media CROSS JOIN range(1, 4) v(run) WHERE doc_id % 11 <> 0 OR run = 1""",
     "planned_runs": f"""WITH {_MEDIA} SELECT path, run, concat(stem, '.teacher.perception_raw.run_', CAST(run AS STRING), '.json') AS file_name
       FROM media CROSS JOIN range(1, 6) v(run)""",
     "first_json_object": f"SELECT event_id, {_reply('found', 'event_id')} AS found FROM events",

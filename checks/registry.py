@@ -17,6 +17,7 @@ from scenegrade.operators.agreement import run_agreement
 from scenegrade.operators.naming import match_students
 from scenegrade.operators.score import METRICS, score_pairs
 from scenegrade.operators.validate import error_summary, with_validation
+from scenegrade.plans import evaluate as E
 from scenegrade.plans import gold as G
 from scenegrade.plans import leaderboard as L
 from scenegrade.sources.files import media_data_urls
@@ -160,6 +161,16 @@ def consensus_risk(spark, sf_dir):
     return rounded(voted.withColumn("main_risk_factors", F.array_join("main_risk_factors", ",")), ["confidence"])
 
 
+@query
+def stored_scores(spark, sf_dir):
+    """Gold and student documents as tables, met by file name."""
+    files = D.student_texts(spark, sf_dir).withColumn("file_name", F.concat("video_id", F.lit("_"), "model", F.lit(".json")))
+    results = files.select(F.concat(F.lit("/r/"), "file_name").alias("path"), "file_name", "text")
+    documents = D.gold_texts(spark, sf_dir).selectExpr("video_id AS stem", "text AS document")
+    scores, _ = E.score_tables(documents, results)
+    return scores.select("video", "model", "parse_ok", "schema_ok", "rule_ok")
+
+
 @query
 def consensus_documents(spark, sf_dir):
     return G.gold_documents(runs(spark, sf_dir), min_valid=4)  # some videos have fewer, some four, some five
@@ -198,6 +209,18 @@ def model_filter(spark, sf_dir):
     return L.filter_models(matched, ["alpha-2b", "alpha_8b"])
 
 
+@query
+def teacher_run_names(spark, sf_dir):
+    """Run files of both namings among files that are none."""
+    files = D.table(spark, sf_dir, "orders").selectExpr(
+        "o_orderkey AS k",
+        "concat('cam_', CAST(o_orderkey AS STRING), CASE o_orderkey % 6 WHEN 0 THEN '.teacher.run_1.json'"
+        " WHEN 1 THEN '.teacher.perception_raw.run_02.json' WHEN 2 THEN '.teacher.perception_integrated.json'"
+        " WHEN 3 THEN '.json' WHEN 4 THEN '.teacher.run_a.b.json' ELSE '.teacher.run_1.txt' END) AS file_name",
+    )
+    return files.select("k", N.teacher_run_stem("file_name").alias("stem"))
+
+
 @query
 def run_consensus_weight(spark, sf_dir):
     return rounded(run_agreement(runs(spark, sf_dir)), ["weight"])
@@ -271,6 +294,22 @@ def planned_runs(spark, sf_dir):
     return calls_ops.planned_runs(_media(spark, sf_dir), 5).select("path", "run", "file_name")
 
 
+@query
+def first_media(spark, sf_dir):
+    return calls_ops.first_media(_media(spark, sf_dir), limit=100, samples=25).select("doc_id", "path")
+
+
+@query
+def run_outcomes(spark, sf_dir):
+    """Runs that answered, failed on their own, or failed for the whole video at the upload."""
+    made = calls_ops.planned_runs(_media(spark, sf_dir), 3).selectExpr(
+        "path", "run", "file_name", "concat('{\"doc\":', CAST(doc_id AS STRING), '}') AS response_text",
+        "CASE WHEN doc_id % 11 = 0 THEN 'not active' WHEN (doc_id + run) % 7 = 0 THEN concat('run ', CAST(run AS STRING)) END AS error",
+        "CASE WHEN doc_id % 11 = 0 THEN 'upload/activate' END AS stage", "CAST(run / 2 AS DOUBLE) AS elapsed_s",
+    )
+    return calls_ops.run_outcomes(made, "teacher-1")
+
+
 _REPLY = {
     "clean": "props",
     "noted": "concat('note ', props, ' end } tail')",

@@ -4,6 +4,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, functions as F
 
 from scenegrade.operators.rates import latency_lines
+from scenegrade.operators.validate import CSV_ERROR_LIMIT
 from scenegrade.plans.leaderboard import details, flat_report, model_summary, ranked
 
 
@@ -19,10 +20,10 @@ def _write_csv(df: DataFrame, path: str, sep: str = ",") -> None:
 
 
 def write_per_video_scores(scores: DataFrame, out: str) -> None:
-    """``per_video_scores`` as Parquet with the full error lists and as flat CSV."""
+    """``per_video_scores`` as Parquet with the full error lists and as flat CSV, whose layout has the first 30 errors."""
     scores.write.mode("overwrite").parquet(f"{out}/per_video_scores.parquet")
     stored = scores.sparkSession.read.parquet(f"{out}/per_video_scores.parquet")
-    _write_csv(_csv_ready(flat_report(stored)), f"{out}/per_video_scores.csv")
+    _write_csv(_csv_ready(flat_report(stored, CSV_ERROR_LIMIT)), f"{out}/per_video_scores.csv")
 
 
 def write_model_summary(summary: DataFrame, out: str) -> None:

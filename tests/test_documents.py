@@ -3,6 +3,7 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from scenegrade.functions import json_docs as J
 from scenegrade.operators.score import score_pairs
@@ -113,3 +114,13 @@ def test_validation_messages(spark):
     row = validate(spark, base(traffic_status="x"))
     assert "traffic_status_not_null_or_list" in row.errors
     assert "rule_lane:traffic_status_len_mismatch expected=1 got=-1" in row.errors
+
+
+def test_numbers_are_equal_as_in_python(spark):
+    texts = ["9007199254740993", "9007199254740992", "2", "2.0", "-0", "0", "1.0E7", "10000000", "0.5", "true", "1"]
+    rows = spark.createDataFrame([(x,) for x in texts], "j string").select("j", J.canon(F.col("j")).alias("c")).collect()
+    key = {r.j: r.c for r in rows}
+    values = {x: json.loads(x) for x in texts}
+    for a in texts:
+        for b in texts:
+            assert (key[a] == key[b]) == (values[a] == values[b]), (a, b)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from scenegrade.operators import rates
 from scenegrade.operators import trainset as T
-from scenegrade.plans.evaluate import collect_examples, integrate_folder, score_folders
+from scenegrade.plans.evaluate import collect_examples, integrate_folder, score_folders, score_tables
 from scenegrade.sources import files as S
 from scenegrade.sources import sinks
 from tests.test_documents import base
@@ -74,3 +74,50 @@ def test_latency_split_and_details(spark, tmp_path):
     split = T.exact_split(spark.range(5).selectExpr("CAST(id AS STRING) AS stem"), 0.5)
     sinks.write_split(split, str(tmp_path / "s"))
     assert spark.read.parquet(str(tmp_path / "s")).filter("split = 'train'").count() == 2
+
+
+def test_integrated_documents_are_scored_from_tables(spark, tmp_path):
+    runs, out = tmp_path / "runs", str(tmp_path / "gold")
+    runs.mkdir()
+    for video, n in (("v", 2), ("w", 1)):
+        for i in range(1, n + 1):
+            (runs / f"{video}.teacher.perception_raw.run_{i}.json").write_text(json.dumps(base()))
+    sinks.write_gold_documents(integrate_folder(spark, str(runs), 2), out)
+    results = spark.createDataFrame(
+        [(f"/r/{name}", name, json.dumps(base())) for name in ("question_v_m1.json", "w_m1.json", "x_m1.json", "v_m2.json")],
+        "path string, file_name string, text string",
+    )
+    gold = spark.read.parquet(out)
+    scores, _ = score_tables(gold, results, S.json_files(spark, str(runs)), ["m1"])
+    stored = sinks.write_reports(scores, str(tmp_path / "out"), weighted=True)
+    rows = {r.video: r for r in stored.collect()}
+    assert set(rows) == {"v", "w"} and rows["v"].traffic_status_macro_acc == 1.0
+    summary = spark.read.option("header", True).csv(f"{tmp_path}/out/model_summary.csv").collect()
+    assert [(r.model, r.n_videos) for r in summary] == [("m1", "2")]
+    limited, _ = score_tables(gold, results, None, None, 1)
+    assert {r.video for r in limited.select("video").collect()} == {"v"}
+
+
+def test_texts_are_parsed_after_the_name_join(spark, tmp_path):
+    (tmp_path / "v_m1.json").write_text(json.dumps(base()))
+    scores, _ = score_folders(spark, str(tmp_path), str(tmp_path), ["m1"])
+    plan = scores._jdf.queryExecution().optimizedPlan().toString()
+    lines = plan.split("\n")
+    depth = [len(x) - len(x.lstrip(" :+-")) for x in lines]
+    parses = [k for k, line in enumerate(lines) if "Generate" in line and "_wrapped" in line]
+    assert len(parses) == 2  # gold and student documents
+
+    def below(k):
+        stop = next((i for i in range(k + 1, len(lines)) if depth[i] <= depth[k]), len(lines))
+        return lines[k + 1 : stop]
+
+    assert sum(any("Join Inner" in line for line in below(k)) for k in parses) == 1
+
+
+def test_results_are_appended_once(spark, tmp_path):
+    batch = spark.createDataFrame([("/a.mp4", "m", "{}"), ("/a.mp4", "m", "{}")], "path string, model string, document string")
+    for _ in range(2):
+        sinks.append_results(batch, f"{tmp_path}/r")
+    more = spark.createDataFrame([("/a.mp4", "m", "{}"), ("/b.mp4", "n", "{}")], "path string, model string, document string")
+    sinks.append_results(more, f"{tmp_path}/r")
+    assert sorted((r.path, r.model) for r in spark.read.parquet(f"{tmp_path}/r").collect()) == [("/a.mp4", "m"), ("/b.mp4", "n")]
