@@ -17,7 +17,6 @@ from scenegrade.operators.agreement import run_agreement
 from scenegrade.operators.naming import match_students
 from scenegrade.operators.score import METRICS, score_pairs
 from scenegrade.operators.validate import error_summary, with_validation
-from scenegrade.plans import evaluate as E
 from scenegrade.plans import gold as G
 from scenegrade.plans import leaderboard as L
 from scenegrade.sources.files import media_data_urls
@@ -161,16 +160,6 @@ def consensus_risk(spark, sf_dir):
     return rounded(voted.withColumn("main_risk_factors", F.array_join("main_risk_factors", ",")), ["confidence"])
 
 
-@query
-def stored_scores(spark, sf_dir):
-    """Gold and student documents as tables, met by file name."""
-    files = D.student_texts(spark, sf_dir).withColumn("file_name", F.concat("video_id", F.lit("_"), "model", F.lit(".json")))
-    results = files.select(F.concat(F.lit("/r/"), "file_name").alias("path"), "file_name", "text")
-    documents = D.gold_texts(spark, sf_dir).selectExpr("video_id AS stem", "text AS document")
-    scores, _ = E.score_tables(documents, results)
-    return scores.select("video", "model", "parse_ok", "schema_ok", "rule_ok")
-
-
 @query
 def consensus_documents(spark, sf_dir):
     return G.gold_documents(runs(spark, sf_dir), min_valid=4)  # some videos have fewer, some four, some five
