@@ -1,6 +1,7 @@
 """Language identification by prediction by partial matching over bytes."""
 
-from dataclasses import dataclass
+import zlib
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -10,6 +11,12 @@ from scenegrade.llm.common import flat
 
 UNKNOWN = "und"
 ORDER = 3
+#: Parts of the labelled texts; each part is coded by a model of the others.
+FOLDS = 4
+#: A cutoff lies this much above the costliest labelled text, but at most so many times their upper quartile.
+MARGIN, LOOSEST = 1.1, 2.4
+#: Bits that any text may need beyond its cutoff: a few symbols out of place in a short one.
+SPARE = 40.0
 
 
 @dataclass
@@ -17,13 +24,15 @@ class Model:
     """Frozen statistics: contexts of up to ORDER bytes as states, with the code length of every next byte.
 
     kinds maps bytes to symbols (0: never seen, also before the start), states maps ORDER symbols to the longest
-    known context, and bits holds the code length by state, symbol and language.
+    known context, and bits holds the code length by state, symbol and language. cutoffs are the most bits a byte that
+    a text of each language may need, if they were learned.
     """
 
     languages: list[str]
     kinds: np.ndarray
     states: np.ndarray
     bits: np.ndarray
+    cutoffs: np.ndarray | None = None
 
 
 def sample(rows: DataFrame, per_language: int, longest: int) -> DataFrame:
@@ -134,37 +143,71 @@ def code_lengths(model: Model, at: np.ndarray, data: np.ndarray, window: int = 1
     return out
 
 
+def learn_cutoffs(texts: list[tuple[str, bytes]], languages: list[str]) -> np.ndarray:
+    """Most bits a byte for each language, from its own labelled texts, each coded by a model that has not seen it.
+
+    A cutoff is MARGIN times the largest of these rates, and at most LOOSEST times their upper quartile, so junk with a
+    label does not open it. A language with a single text has no such rate, and no cutoff.
+    """
+    dealt = []
+    for x in languages:
+        own = sorted({t for lang, t in texts if lang == x and t}, key=lambda t: (zlib.crc32(t), t))
+        dealt += [(k % FOLDS, x, t) for k, t in enumerate(own)]
+    rates: dict[str, list[float]] = {x: [] for x in languages}
+    for fold in range(FOLDS):
+        model = train([(x, t) for f, x, t in dealt if f != fold])
+        for f, x, t in dealt:
+            if f == fold and model is not None and x in model.languages:
+                bits = code_lengths(model, np.array([0, len(t)]), np.frombuffer(t, np.uint8))
+                rates[x].append(bits[0, model.languages.index(x)] / len(t))
+    return np.array([min(MARGIN * max(r), LOOSEST * float(np.quantile(r, 0.75))) if r else np.inf for r in rates.values()])
+
+
 def identify(rows: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
     """Adds lang_pred and score (the posterior share of the best language under equal priors) to `rows`.
 
     The whole text is scored; the text column goes. Null texts, texts without a letter, and all texts if there is no
-    model, get 'und' and score 0. Ties go to the first language in sort order.
+    model, get 'und' and score 0. Ties go to the first language in sort order. A model with cutoffs also gives
+    `recognised`: whether the text, less SPARE bits, needs no more bits a byte than the cutoff of its best language.
     """
     spark = rows.sparkSession
     rows = rows.withColumn("_letters", F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)))
     rows = rows.withColumn("_bytes", F.coalesce(F.when(F.col("_letters"), F.col(text)), F.lit("")).cast("binary")).drop(text)
     kept = [c for c in rows.columns if c not in ("_bytes", "_letters")]
     shared = spark.sparkContext.broadcast(model)
+    judged = model is not None and model.cutoffs is not None
 
     def run(batches):
         model = shared.value
         for batch in batches:
             letters = np.asarray(batch.column("_letters").to_numpy(zero_copy_only=False), bool)
             names, score = np.full(len(letters), UNKNOWN, object), np.zeros(len(letters))
+            recognised = np.zeros(len(letters), bool)
             if model is not None and letters.any():
-                bits = code_lengths(model, *flat(batch.column("_bytes")))
+                at, data = flat(batch.column("_bytes"))
+                bits = code_lengths(model, at, data)
                 best = bits.argmin(axis=1)
                 share = 1 / np.exp2(bits.min(axis=1)[:, None] - bits).sum(axis=1)
                 names[letters] = np.array(model.languages, object)[best[letters]]
                 score[letters] = share[letters]
+                if judged:
+                    excess = bits.min(axis=1)[letters] - SPARE
+                    recognised[letters] = excess <= model.cutoffs[best[letters]] * np.diff(at)[letters]
             arrays = [batch.column(c) for c in kept] + [pa.array(names, pa.string()), pa.array(score)]
-            yield pa.RecordBatch.from_arrays(arrays, names=[*kept, "lang_pred", "score"])
+            more = [pa.array(recognised)] if judged else []
+            yield pa.RecordBatch.from_arrays(arrays + more, names=[*kept, "lang_pred", "score", *["recognised"][: len(more)]])
 
     schema = rows.drop("_bytes", "_letters").schema.add("lang_pred", "string").add("score", "double")
+    schema = schema.add("recognised", "boolean") if judged else schema
     return rows.mapInArrow(run, schema)
 
 
-def fit(rows: DataFrame, per_language: int = 300, longest: int = 1 << 16) -> Model | None:
-    """Model from a bounded sample of `rows` (lang, text): at most per_language texts of `longest` bytes for each."""
+def fit(rows: DataFrame, per_language: int = 300, longest: int = 1 << 16, cutoffs: bool = False) -> Model | None:
+    """Model from a bounded sample of `rows` (lang, text): at most per_language texts of `longest` bytes for each.
+
+    With `cutoffs` it also learns them, from the same sample.
+    """
     chosen = sample(rows, per_language, longest)
-    return train([(r["lang"], bytes(r["text"])) for r in chosen.select("lang", F.col("text").cast("binary").alias("text")).toLocalIterator()])
+    texts = [(r["lang"], bytes(r["text"])) for r in chosen.select("lang", F.col("text").cast("binary").alias("text")).toLocalIterator()]
+    model = train(texts)
+    return replace(model, cutoffs=learn_cutoffs(texts, model.languages)) if model and cutoffs else model

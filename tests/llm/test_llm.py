@@ -373,3 +373,22 @@ def test_pipeline_against_brute_force(spark, corpus, tmp_path):
     packed = corpus_pipeline.run(spark, str(tmp_path))
     assert {r[0] for r in packed.select("doc_id").collect()} == kept["near_dedup"]
     assert packed.columns == packing.PIECES
+
+
+def test_pipeline_rejects_what_no_learned_language_explains(spark, corpus):
+    import base64
+
+    import corpus_pipeline
+
+    rng = random.Random(11)
+    letters = lambda a: "".join(rng.choice(a) for _ in range(rng.randint(2, 8)))
+    unlearned = [letters("stuvwxyz") for _ in range(300)]
+    odd = [
+        words(rng, 60, unlearned), words(rng, 2000, unlearned),
+        " ".join(letters("abcdefghijklmnopqrstuvwxyz") for _ in range(60)), " ".join(letters("бвгджзклмнпрст") for _ in range(60)),
+        base64.b64encode(rng.randbytes(600)).decode(),
+    ]
+    clean = [r for r in corpus if r[0] != 304 and any(c.isalpha() for c in r[1] or "")]
+    rows = [*clean, *[(5000 + k, t, None, "s0") for k, t in enumerate(odd)]]
+    stay = corpus_pipeline.identify_language(spark, documents(spark, rows), "")
+    assert {r[0] for r in stay.collect()} == {r[0] for r in clean}
