@@ -36,12 +36,14 @@ class Model:
 
 
 def sample(rows: DataFrame, per_language: int, longest: int) -> DataFrame:
-    """At most `per_language` different texts (lang, text) of each language: those with the smallest text hashes.
+    """At most `per_language` different texts (lang, text as bytes) of each language: those with the smallest text hashes.
 
     A first pass estimates the number of different texts of each language; the second ranks only those below the hash
-    that leaves about twice as many as wanted. Texts over `longest` bytes and null languages don't count.
+    that leaves about twice as many as wanted. Of a longer text only the first `longest` bytes are taken; null texts and
+    null languages don't count.
     """
-    rows = rows.filter(F.col("lang").isNotNull() & (F.octet_length("text") <= longest)).withColumn("h", F.xxhash64("text"))
+    rows = rows.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).withColumn("h", F.xxhash64("text"))
+    rows = rows.withColumn("text", F.substring(F.col("text").cast("binary"), 1, longest))
     sizes = rows.groupBy("lang").agg(F.approx_count_distinct("h").alias("n"))
     share = F.least(F.lit(1.0), F.lit(2.0 * per_language + 50) / F.col("n"))
     # One row for each language.
@@ -203,11 +205,12 @@ def identify(rows: DataFrame, model: Model | None, text: str = "text") -> DataFr
 
 
 def fit(rows: DataFrame, per_language: int = 300, longest: int = 1 << 16, cutoffs: bool = False) -> Model | None:
-    """Model from a bounded sample of `rows` (lang, text): at most per_language texts of `longest` bytes for each.
+    """Model from a bounded sample of `rows` (lang, text): at most per_language texts for each, and of
+    each text its first `longest` bytes. Every language with a text that is not empty is learned.
 
     With `cutoffs` it also learns them, from the same sample.
     """
     chosen = sample(rows, per_language, longest)
-    texts = [(r["lang"], bytes(r["text"])) for r in chosen.select("lang", F.col("text").cast("binary").alias("text")).toLocalIterator()]
+    texts = [(r["lang"], bytes(r["text"])) for r in chosen.toLocalIterator()]
     model = train(texts)
     return replace(model, cutoffs=learn_cutoffs(texts, model.languages)) if model and cutoffs else model

@@ -392,3 +392,17 @@ def test_pipeline_rejects_what_no_learned_language_explains(spark, corpus):
     rows = [*clean, *[(5000 + k, t, None, "s0") for k, t in enumerate(odd)]]
     stay = corpus_pipeline.identify_language(spark, documents(spark, rows), "")
     assert {r[0] for r in stay.collect()} == {r[0] for r in clean}
+
+
+def test_languages_with_long_texts_only_are_learned(spark):
+    rng = random.Random(12)
+    stock = {x: ["".join(rng.choice(a) for _ in range(rng.randint(2, 8))) for _ in range(200)] for x, a in (("aa", "abcdefgh"), ("bb", "stuvwxyz"))}
+    rows = [(words(rng, 50, stock["aa"]), "aa") for _ in range(20)] + [(words(rng, 20_000, stock["bb"]), "bb") for _ in range(3)]
+    assert min(len(t) for t, lang in rows if lang == "bb") > 1 << 16
+    df = spark.createDataFrame(rows, "text string, lang string")
+    sizes = {r["lang"]: (r["n"], r["most"]) for r in language_id.sample(df, 300, 1 << 16).groupBy("lang").agg(F.count("*").alias("n"), F.max(F.octet_length("text")).alias("most")).collect()}
+    assert sizes["aa"][0] == 20 and sizes["bb"] == (3, 1 << 16)
+    model = language_id.fit(df)
+    assert model.languages == ["aa", "bb"]
+    found = language_id.identify(df.withColumnRenamed("lang", "given"), model).collect()
+    assert len(found) == 23 and all(r["lang_pred"] == r["given"] for r in found)
