@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from scenegrade.llm import chat_format, language_id, near_dedup, packing, quality_rules, sentencepiece_viterbi
-from scenegrade.llm import token_blocks, url_filter, warc
+from scenegrade.llm import substring_dedup, token_blocks, url_filter, vector_codes, warc
 from scenegrade.llm.common import pick, table
 from scenegrade.llm.exact_dedup import exact_duplicates
 
@@ -76,6 +76,15 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, sf_dir, "pages"), rules)
 
 
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.code_report(table(spark, sf_dir, "embeddings"))
+
+
+def op13_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring_dedup.without_repeats(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -86,7 +95,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_language_id, op2_near_dedup, op3_token_blocks, op4_chat_format, op5_best_fit_packing, op6_exact_dedup,
-        op7_quality_rules, op8_warc, op9_sentencepiece, op10_url_filter, pipeline,
+        op7_quality_rules, op8_warc, op9_sentencepiece, op10_url_filter, op12_vector_codes, op13_substring_dedup, pipeline,
     )
 }
 
@@ -169,4 +178,53 @@ SELECT page_id, coalesce(host, '') AS host, coalesce(path, '') AS path, rule, co
 FROM parts LEFT JOIN hits USING (page_id)
 """
 
-ORACLES = {"op2_near_dedup": OP2, "op4_chat_format": OP4, "op6_exact_dedup": OP6, "op8_warc": OP8, "op10_url_filter": OP10}
+_CODED = ["""
+WITH v AS MATERIALIZED (
+  SELECT vec_id, label, len(embedding) // 4 AS d, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), parts AS MATERIALIZED (
+  SELECT vec_id, p, e[p * d + 1 : (p + 1) * d] AS x FROM v CROSS JOIN range(4) AS r(p)
+), book0 AS MATERIALIZED (
+  SELECT p, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS c, x FROM parts QUALIFY c < 256
+)"""]
+#: Distance and index in one integer: their least is the nearest entry, ties to the lower index.
+_NEAREST = """, near{k} AS MATERIALIZED (
+  SELECT q.vec_id, q.p, q.x, min((list_inner_product(q.x, q.x) - 2 * list_inner_product(q.x, b.x) + list_inner_product(b.x, b.x))::BIGINT * 256 + c) AS best
+  FROM parts q JOIN book{k} b ON q.p = b.p GROUP BY ALL
+)"""
+_MOVED = """, sums{k} AS (
+  SELECT p, best % 256 AS c, i, floor(sum(x[i]) / count(*)) AS s FROM near{k} CROSS JOIN generate_series(1, (SELECT max(d) FROM v)) AS g(i) GROUP BY ALL
+), book{n} AS MATERIALIZED (
+  SELECT b.p, b.c, coalesce(m.x, b.x) AS x FROM book{k} b LEFT JOIN (SELECT p, c, list(s ORDER BY i) AS x FROM sums{k} GROUP BY p, c) m ON b.p = m.p AND b.c = m.c
+)"""
+for _k in range(4):
+    _CODED += [_NEAREST.format(k=_k), _MOVED.format(k=_k, n=_k + 1)]
+_CODED += [_NEAREST.format(k=4), """, codes AS (
+  SELECT vec_id, string_agg(printf('%02x', best % 256), '' ORDER BY p) AS code, sum(best // 256)::BIGINT AS error FROM near4 GROUP BY vec_id
+), digest AS (
+  SELECT sha256(string_agg(array_to_string(list_transform(x, lambda y: y::BIGINT), ','), ',' ORDER BY p, c)) AS codebooks_sha256 FROM book4
+)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256
+FROM codes JOIN v USING (vec_id) CROSS JOIN digest"""]
+OP12 = "".join(_CODED)
+
+_CASED = _WORDS.replace("translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')", "coalesce(text, '')")
+OP13 = rf"""
+WITH words AS MATERIALIZED (
+  SELECT doc_id, list_filter({_CASED}, lambda x: x <> '') AS w FROM documents
+), windows AS MATERIALIZED (
+  SELECT doc_id, s, array_to_string(w[s : s + 12], ' ') AS x
+  FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - 12)) AS s FROM words)
+), repeated AS (
+  SELECT doc_id, s FROM windows JOIN (SELECT x, min(doc_id) AS least FROM windows GROUP BY x) USING (x) WHERE doc_id > least
+), gone AS (
+  SELECT DISTINCT doc_id, s + k AS i FROM repeated CROSS JOIN range(13) AS r(k)
+), kept AS (
+  SELECT doc_id, string_agg(x, ' ' ORDER BY i) AS k, count(*) AS n
+  FROM (SELECT doc_id, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS i FROM words) ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id
+)
+SELECT doc_id, len(w)::BIGINT AS n_words, len(w)::BIGINT - coalesce(n, 0) AS n_removed, sha256(coalesce(k, '')) AS kept_sha256
+FROM words LEFT JOIN kept USING (doc_id)
+"""
+
+ORACLES = {"op2_near_dedup": OP2, "op4_chat_format": OP4, "op6_exact_dedup": OP6, "op8_warc": OP8, "op10_url_filter": OP10, "op12_vector_codes": OP12, "op13_substring_dedup": OP13}
