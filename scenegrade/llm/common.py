@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 #: Bound on what one Arrow batch carries to a Python worker, in rows.
 BATCH_ROWS = 512
+#: Ids that a broadcast may hold; beyond, the join is a shuffle.
+BROADCAST_IDS = 2_000_000
 
 
 def configure(spark: SparkSession) -> SparkSession:
@@ -76,6 +78,24 @@ def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return o - (o[0] if len(o) else 0), d[o[0] : o[-1]] if len(o) else d
 
 
+def spans(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The numbers begin, begin + 1, ... of each range, one range after the other."""
+    return np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(size.sum())
+
+
+def gathered(batches, column: str, size: int):
+    """The rows of the batches in fewer ones: each is closed once the strings of `column` reach `size` bytes."""
+    held, held_size = [], 0
+    for batch in batches:
+        held.append(batch)
+        held_size += batch.column(column).nbytes
+        if held_size >= size:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held, held_size = [], 0
+    if held and sum(map(len, held)):
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
 def tasks_for(df: DataFrame) -> int:
     """Partitions for an explicit exchange: the session's number of shuffle partitions."""
     return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))

@@ -1,17 +1,18 @@
 """Token ids in binary files of patched frame-of-reference blocks."""
 
 import os
-import re
 import struct
 import uuid
 import zlib
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
-from scenegrade.llm.common import flat, open_storage, pick, shared_folder, stored, tasks_for
+from scenegrade.llm.common import gathered, open_storage, pick, shared_folder, stored, tasks_for
 
 #: Ids of a block, percentile of bit widths that the packed width must cover, ids after which a new file begins.
 BLOCK, COVERED, FILE_IDS = 1024, 0.9, 1 << 23
@@ -19,7 +20,11 @@ HEAD = struct.Struct("<IHHB")  # block minimum, ids, exceptions, packed width
 TAIL = struct.Struct("<QQ4s")  # blocks, ids, mark
 MARK = b"pfor"
 #: Words whose ids a worker remembers.
-REMEMBERED = 800_000
+REMEMBERED = 1_500_000
+#: Bytes of text that are encoded at a time, if no text is longer.
+PORTION = 1 << 24
+#: Documents that are added to a file at a time.
+ROWS = 64
 
 
 def _pack(values: np.ndarray, width: int) -> bytes:
@@ -124,66 +129,116 @@ class Reader:
         return np.concatenate(blocks)[first - a * BLOCK :][:n]
 
 
-#: A space between two white space characters, or the text's end: there words can't be told by spaces alone.
-ODD = re.compile(r"\s (?!\S)")
-
-
 class Encoder:
-    """Ids of whole texts by a byte-level BPE file of the tokenizers library; parts between spaces are remembered.
+    """Ids of whole texts by a byte-level BPE file of the tokenizers library; words between spaces are remembered.
 
     The library's pre-tokenizer begins a new word at a space that stands alone, so the ids of a text are those of its
-    parts, each encoded by the library once per worker. Other texts go to the library whole.
+    words, each encoded by the library once per worker: a batch is split and its distinct words are found by Arrow, only
+    those not yet known go to the library, and the ids are gathered by offsets. Texts that spaces alone don't cut
+    safely, and those that hold a special token, go to the library whole. With `special_as_text` the strings of special
+    tokens are ordinary text.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, special_as_text: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True  # in a text their strings are ordinary text
+        self.library.encode_special_tokens = special_as_text
+        self.special = [] if special_as_text else [t.content for t in self.library.get_added_tokens_decoder().values()]
         n = self.library.get_vocab_size()
         self.begins = np.array([(self.library.id_to_token(i) or "").startswith("Ġ") for i in range(n)])
-        self.known: dict[str, bytes] = {}
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+        self.forget()
+
+    def forget(self) -> None:
+        """Words by place; the ids of all of them, one after the other; where each word's ids begin, and how many."""
+        self.places: dict[str, int] = {}
+        self.ids, self.used = np.zeros(1 << 16, "<u4"), 0
+        self.begin, self.size = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
+
+    def _library(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _keep(self, words: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
+        first, n = len(self.places), len(words)
+        self.places.update(zip(words, range(first, first + n)))
+        self.ids = _room(self.ids, self.used + len(ids))
+        self.begin, self.size = _room(self.begin, first + n), _room(self.size, first + n)
+        self.ids[self.used : self.used + len(ids)] = ids
+        self.begin[first : first + n] = self.used + np.cumsum(sizes) - sizes
+        self.size[first : first + n] = sizes
+        self.used += len(ids)
 
     def _learn(self, words: list[str]) -> None:
         """Ids of new words. Those that are a space and then no space at either end are encoded side by side, as in a
         text; a word begins at each piece that begins with a space."""
-        joined = [w for w in words if w[0] == " " and len(w) > 1 and not w[1].isspace() and not w[-1].isspace()]
-        for a in range(0, len(joined), 4096):
-            part = joined[a : a + 4096]
-            ids = np.array(self._ids("".join(part)), "<u4")
-            at = np.flatnonzero(self.begins[ids]) * 4
+        joined = [w for w in words if len(w) > 1 and w[0] == " " and not w[1].isspace() and not w[-1].isspace()]
+        apart = set(words).difference(joined) if len(joined) < len(words) else set()
+        for a in range(0, len(joined), 256):
+            part = joined[a : a + 256]
+            ids = np.array(self._library(["".join(part)])[0], "<u4")
+            at = np.flatnonzero(self.begins[ids])
             if len(at) == len(part):
-                data, ends = ids.tobytes(), [*at[1:].tolist(), 4 * len(ids)]
-                self.known.update(zip(part, [data[x:y] for x, y in zip(at.tolist(), ends)]))
-        rest = [w for w in words if w not in self.known]
-        self.known.update(zip(rest, self._encode(rest)))
-
-    def _ids(self, text: str) -> list[int]:
-        return self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        if len(self.known) > REMEMBERED:
-            self.known = {}
-        known = self.known
-        known[""] = b""
-        out, parts = [], []
-        for text in texts:
-            words = text.split(" ") if ODD.search(text) is None else None
-            if words is not None:
-                words[1:] = [" " + w for w in words[1:]]
-            parts.append(words)
-        new = list({w for words in parts if words for w in words if w not in known})
-        self._learn(new)
-        for text, words in zip(texts, parts):
-            out.append(self._encode([text])[0] if words is None else b"".join([known[w] for w in words]))
-        return out
-
-
-def write_tokens(docs: DataFrame, tokenizer: str, end_id: int, folder: str, file_ids: int = FILE_IDS) -> DataFrame:
+                self._keep(part, ids, np.diff(at, append=len(ids)))
+            else:
+                apart.update(part)
+        if apart:
+            apart = sorted(apart)
+            found = self._library(apart)
+            self._keep(apart, np.array([i for x in found for i in x], "<u4"), np.array([len(x) for x in found]))
+
+    def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one after the other, and the offsets of the texts in them."""
+        if len(self.places) > REMEMBERED:
+            self.forget()
+        split = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
+        at = split.offsets.to_numpy()
+        words = split.values.dictionary_encode()
+        names, which = words.dictionary.to_pylist(), words.indices.to_numpy()
+        whole = np.array([any(s in t for s in self.special) for t in texts], bool) | _uncut(names, which, at)
+        heads = [names[k] for k in which[at[:-1]]]  # no space stands before the first word
+        keys = [" " + w for w in names] + heads
+        places = np.fromiter(map(self.places.get, keys, repeat(-1)), np.int64, len(keys))
+        new = [keys[k] for k in np.flatnonzero(places < 0).tolist() if keys[k]]
+        if new:
+            self._learn(sorted(set(new)))
+            places[places < 0] = [self.places.get(keys[k], -1) for k in np.flatnonzero(places < 0).tolist()]
+        which, first = places[which] if len(which) else np.zeros(0, np.int64), places[len(names) :]
+        sizes = self.size[which]
+        which[at[:-1]], sizes[at[:-1]] = first, np.where(first < 0, 0, self.size[first])
+        ends = np.r_[0, np.cumsum(sizes)]
+        ids = self.ids[np.repeat(self.begin[which] - ends[:-1], sizes) + np.arange(ends[-1])]
+        ends = ends[at]
+        if not whole.any():
+            return ids, ends
+        parts = np.split(ids, ends[1:-1])
+        at = np.flatnonzero(whole)
+        for k, found in zip(at, self._library([texts[k] for k in at])):
+            parts[k] = np.array(found, "<u4")
+        return np.concatenate(parts), np.cumsum([0, *map(len, parts)])
+
+
+def _uncut(names: list[str], which: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Texts in which white space, a space and then white space or the end follow each other: there a word is no unit.
+
+    names: the distinct words between spaces, which: those of the texts, at: offsets of the texts.
+    """
+    before, after = (np.array([not w or w[k].isspace() for w in names], bool) for k in (-1, 0))
+    if not before.any() or not len(which):
+        return np.zeros(len(at) - 1, bool)
+    before, after = before[which], after[which]
+    before[at[:-1]] &= np.array([bool(names[k]) for k in which[at[:-1]]], bool)  # an empty first word has nothing before its space
+    hit = before[:-1] & after[1:]
+    hit[at[1:-1] - 1] = False
+    sums = np.r_[0, np.cumsum(hit), hit.sum()]
+    return sums[at[1:]] > sums[at[:-1]]
+
+
+def _room(x: np.ndarray, n: int) -> np.ndarray:
+    return x if n <= len(x) else np.concatenate([x, np.zeros(max(n - len(x), len(x)), x.dtype)])
+
+
+def write_tokens(docs: DataFrame, tokenizer: str, end_id: int, folder: str, file_ids: int = FILE_IDS, special_as_text: bool = False) -> DataFrame:
     """Encodes every whole text, appends end_id, and writes the ids in ascending doc_id order to files in `folder`.
 
     Rows are range-partitioned and sorted by (doc_id, text); a task writes its range to files of about file_ids ids,
@@ -195,24 +250,25 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int, folder: str, file
     rows = rows.repartitionByRange(tasks_for(docs), "doc_id").sortWithinPartitions("doc_id", "text")
 
     def run(batches):
-        encoder, part = worker_encoder(tokenizer), TaskContext.get().partitionId()
+        encoder, part = worker_encoder(tokenizer, special_as_text), TaskContext.get().partitionId()
         writer, start = None, 0
-        end = np.array([end_id], "<u4").tobytes()
-        for batch in batches:
-            texts, done = batch.column("text").to_pylist(), []
-            for ids in _portions(encoder, texts):
+        for batch in gathered(batches, "text", PORTION):
+            found, ends = encoder(batch.column("text").to_pylist())
+            n = np.diff(ends) + 1
+            ids = np.insert(found, ends[1:], end_id)
+            at, done = np.cumsum(n) - n, []
+            for k in range(0, len(n), ROWS):
                 if writer is None or writer.ids >= file_ids:
                     if writer:
                         writer.close()
                     writer = Writer(folder, part)
-                n = len(ids) // 4 + 1
-                done.append((part, writer.path, writer.ids, start, n))
-                writer.add(np.frombuffer(ids + end, "<u4"))
-                start += n
-            if done:
-                parts, paths, firsts, starts, counts = map(list, zip(*done))
-                arrays = [pa.array(parts, pa.int32()), pa.array(paths, pa.string()), *(pa.array(x, pa.int64()) for x in (firsts, starts, counts))]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *arrays], names=["doc_id", *INDEX])
+                rows, size = slice(k, k + ROWS), int(n[k : k + ROWS].sum())
+                done.append((writer.path, writer.ids + at[rows] - at[k]))
+                writer.add(ids[at[k] : at[k] + size])
+            paths = [path for path, first in done for _ in first]
+            columns = [pa.array(np.full(len(n), part, np.int32)), pa.array(paths, pa.string()), *(pa.array(x) for x in (np.concatenate([first for _, first in done]), start + at, n))]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], names=["doc_id", *INDEX])
+            start += int(n.sum())
         if writer:
             writer.close()
 
@@ -222,29 +278,14 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int, folder: str, file
 
 
 INDEX = ["part", "path", "first", "start", "n_tokens"]
+_encoders: dict[tuple[str, bool], Encoder] = {}
 
 
-def _portions(encoder: Encoder, texts: list[str], chars: int = 1 << 20):
-    """Ids of each text, encoded in portions of about `chars` characters so that few are held at once."""
-    group, size = [], 0
-    for text in texts:
-        group.append(text)
-        size += len(text)
-        if size >= chars:
-            yield from encoder(group)
-            group, size = [], 0
-    if group:
-        yield from encoder(group)
-
-
-_encoders: dict[str, Encoder] = {}
-
-
-def worker_encoder(path: str) -> Encoder:
+def worker_encoder(path: str, special_as_text: bool = False) -> Encoder:
     """One encoder for each Python worker and file."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    if (path, special_as_text) not in _encoders:
+        _encoders[path, special_as_text] = Encoder(path, special_as_text)
+    return _encoders[path, special_as_text]
 
 
 def with_starts(index: DataFrame) -> DataFrame:

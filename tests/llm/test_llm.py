@@ -218,21 +218,38 @@ def test_exact_binomial_bound():
     assert quality_rules.upper_bound(5, 5, 0.1) == 1.0 and quality_rules.upper_bound(0, 0, 0.1) == 1.0
 
 
-def test_token_files(spark, corpus):
+@pytest.mark.parametrize("special_as_text", [False, True])
+def test_token_files(spark, corpus, special_as_text):
     from tokenizers import Tokenizer
 
-    library = Tokenizer.from_file(tokenizer_file("byte_bpe_50k.json"))
-    library.encode_special_tokens = True
-    odd = ["it 's  ok", "\n \n b c", "x   y z", " a", "a ", "<|endoftext|> a", "word\n next\n\n  line", "Ġ Ġb"]
+    path = tokenizer_file("byte_bpe_50k.json")
+    library = Tokenizer.from_file(path)
+    library.encode_special_tokens = special_as_text
+    odd = ["it 's  ok", "\n \n b c", "x   y z", " a", "a ", "<|endoftext|> a", "a <|endoftext|> b", "<|endoftext|>", "word\n next\n\n  line", "Ġ Ġb", "a\u3000 b", "\x1c  b", " "]
     rows = [(d, t, x, s) for d, t, x, s in corpus] + [(900 + k, t, "en", "s") for k, t in enumerate(odd)]
-    found = {r["doc_id"]: r for r in token_blocks.token_file_digests(documents(spark, rows), tokenizer_file("byte_bpe_50k.json")).collect()}
-    start = 0
-    for d, t, *_ in sorted(rows):
+    rows += [(None, "no id", "en", "s"), (None, "a", "en", "s"), (3, "same id", "en", "s"), (3, "same id", "en", "s")]
+    index = token_blocks.write_tokens(documents(spark, rows), path, 2, token_blocks.shared_folder(spark, "tokens"), special_as_text=special_as_text)
+    found, want, start = Counter(tuple(r) for r in token_blocks.read_digests(index).collect()), Counter(), 0
+    for d, t, *_ in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or "")):
         ids = np.array([*library.encode(t or "", add_special_tokens=False).ids, 2], "<u4")
-        r = found[d]
-        assert (r["start"], r["n_tokens"], r["ids_crc32"]) == (start, len(ids), zlib.crc32(ids.tobytes()))
+        want[d, start, len(ids), zlib.crc32(ids.tobytes())] += 1
         start += len(ids)
-    assert token_blocks.token_file_digests(documents(spark, []), tokenizer_file("byte_bpe_50k.json")).count() == 0
+    assert found == want
+    assert token_blocks.token_file_digests(documents(spark, []), path).count() == 0
+
+
+def test_encoder_equals_the_library_on_odd_white_space():
+    from tokenizers import Tokenizer
+
+    path, rng = tokenizer_file("byte_bpe_50k.json"), random.Random(1)
+    library = Tokenizer.from_file(path)
+    stock = [" ", " ", "a", "b", "\n", "\t", "\u3000", "\u00a0", "1", "'s", "é", "<|endoftext|>", "\x1c", "\x85", "字"]
+    for special_as_text in (False, True):
+        library.encode_special_tokens, encoder = special_as_text, token_blocks.Encoder(path, special_as_text)
+        for _ in range(60):
+            texts = ["".join(rng.choice(stock) for _ in range(rng.randint(0, 14))) for _ in range(30)]
+            ids, ends = encoder(texts)
+            assert [ids[a:b].tolist() for a, b in zip(ends, ends[1:])] == [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
 
 
 def test_blocks_round_trip():
