@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from scenegrade.llm import chat_format, language_id, near_dedup, packing, quality_rules, sentencepiece_viterbi
-from scenegrade.llm import substring_dedup, token_blocks, url_filter, vector_codes, warc
+from scenegrade.llm import substring_dedup, token_alignment, token_blocks, url_filter, vector_codes, warc
 from scenegrade.llm.common import pick, table
 from scenegrade.llm.exact_dedup import exact_duplicates
 
@@ -76,6 +76,11 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, sf_dir, "pages"), rules)
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = (tokenizer_file("byte_bpe_50k.json"), tokenizer_file("piece_bpe_32k.model"))
+    return token_alignment.alignment(table(spark, sf_dir, "documents"), *files)[0]
+
+
 def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_codes.code_report(table(spark, sf_dir, "embeddings"))
 
@@ -95,7 +100,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_language_id, op2_near_dedup, op3_token_blocks, op4_chat_format, op5_best_fit_packing, op6_exact_dedup,
-        op7_quality_rules, op8_warc, op9_sentencepiece, op10_url_filter, op12_vector_codes, op13_substring_dedup, pipeline,
+        op7_quality_rules, op8_warc, op9_sentencepiece, op10_url_filter, op11_token_alignment, op12_vector_codes, op13_substring_dedup, pipeline,
     )
 }
 

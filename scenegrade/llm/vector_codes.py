@@ -5,9 +5,9 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, functions as F
 
-from scenegrade.llm.common import pick, stored
+from scenegrade.llm.common import pick, spans, stored
 
 
 @dataclass(frozen=True)
@@ -42,6 +42,11 @@ def squared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a * a).sum(1)[:, None] - 2 * (a @ b.T) + (b * b).sum(1)[None]
 
 
+def among(alive: np.ndarray, distance: np.ndarray) -> np.ndarray:
+    """The distances, those to entries that are out of the question as large as can be."""
+    return np.where(alive, distance, np.inf if distance.dtype == np.float64 else np.iinfo(np.int64).max)
+
+
 def cover_tree(points: np.ndarray, leaf: int) -> tuple[np.ndarray, np.ndarray]:
     """Order of the distinct points and node table of their cover tree.
 
@@ -104,8 +109,9 @@ def assign(points: np.ndarray, nodes: np.ndarray, book: np.ndarray) -> tuple[np.
     found, at, alive = [], np.zeros(1, np.int64), np.ones((1, len(book)), bool)
     while len(at):
         node = nodes[at]
-        root = np.sqrt(np.where(alive, squared(points[node[:, CENTRE]], book), np.inf).astype(np.float64))
-        best, near, reach = root.argmin(1), root.min(1)[:, None], np.sqrt(node[:, RADIUS2].astype(np.float64))[:, None]
+        exact = among(alive, squared(points[node[:, CENTRE]], book))
+        root = np.sqrt(exact.astype(np.float64))
+        best, near, reach = exact.argmin(1), root.min(1)[:, None], np.sqrt(node[:, RADIUS2].astype(np.float64))[:, None]
         alive &= root - near <= 2 * reach + 1e-9 * (near + reach + 1)  # with room for the rounding of the roots
         whole = (alive.sum(1) == 1) | (node[:, RADIUS2] == 0)
         found.append((node[whole, BEGIN], node[whole, END], best[whole]))
@@ -114,8 +120,7 @@ def assign(points: np.ndarray, nodes: np.ndarray, book: np.ndarray) -> tuple[np.
             size = node[leaf, END] - node[leaf, BEGIN]
             owner = np.repeat(np.flatnonzero(leaf), size)
             place = spans(node[leaf, BEGIN], size)
-            exact = np.where(alive[owner], squared(points[place], book), np.inf)
-            found.append((place, place + 1, exact.argmin(1)))
+            found.append((place, place + 1, among(alive[owner], squared(points[place], book)).argmin(1)))
         inner = ~whole & ~leaf
         size = node[inner, LAST] - node[inner, FIRST]
         at, alive = spans(node[inner, FIRST], size), alive[np.repeat(np.flatnonzero(inner), size)]
@@ -123,11 +128,6 @@ def assign(points: np.ndarray, nodes: np.ndarray, book: np.ndarray) -> tuple[np.
     return begin, end, own[best]
 
 
-def spans(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """The numbers begin, begin + 1, ... of each range, one range after the other."""
-    return np.repeat(begin - np.r_[0, np.cumsum(size)[:-1]], size) + np.arange(size.sum()) if len(size) else np.zeros(0, np.int64)
-
-
 def vectors_of(embeddings: DataFrame, vec_id: str, vector: str, label: str) -> DataFrame:
     """vec_id, label, x (array of double) of the rows whose vector and all its components are there and finite."""
     rows = pick(embeddings, vec_id=vec_id, label=label, x=vector).withColumn("x", F.col("x").cast("array<double>"))
