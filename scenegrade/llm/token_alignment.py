@@ -17,7 +17,7 @@ from scenegrade.llm.token_blocks import worker_encoder
 class Settings:
     """Bytes of text of one block (a longer text is one block); distinct groups and pairs that a task holds back."""
 
-    block: int = 3 << 20
+    block: int = 1 << 20
     held: int = 1 << 20
 
 

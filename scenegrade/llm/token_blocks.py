@@ -20,7 +20,7 @@ HEAD = struct.Struct("<IHHB")  # block minimum, ids, exceptions, packed width
 TAIL = struct.Struct("<QQ4s")  # blocks, ids, mark
 MARK = b"pfor"
 #: Words whose ids a worker remembers.
-REMEMBERED = 1_500_000
+REMEMBERED = 1_200_000
 #: Bytes of text that are encoded at a time, if no text is longer.
 PORTION = 1 << 24
 #: Documents that are added to a file at a time.
@@ -154,7 +154,7 @@ class Encoder:
         """Words by place; the ids of all of them, one after the other; where each word's ids begin, and how many."""
         self.places: dict[str, int] = {}
         self.ids, self.used = np.zeros(1 << 16, "<u4"), 0
-        self.begin, self.size = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
+        self.begin, self.size = np.zeros(1 << 14, np.int32), np.zeros(1 << 14, np.int32)
 
     def _library(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
@@ -198,17 +198,18 @@ class Encoder:
         whole = np.array([any(s in t for s in self.special) for t in texts], bool) | _uncut(names, which, at)
         heads = [names[k] for k in which[at[:-1]]]  # no space stands before the first word
         keys = [" " + w for w in names] + heads
-        places = np.fromiter(map(self.places.get, keys, repeat(-1)), np.int64, len(keys))
+        places = np.fromiter(map(self.places.get, keys, repeat(-1)), np.int32, len(keys))
         new = [keys[k] for k in np.flatnonzero(places < 0).tolist() if keys[k]]
         if new:
             self._learn(sorted(set(new)))
             places[places < 0] = [self.places.get(keys[k], -1) for k in np.flatnonzero(places < 0).tolist()]
-        which, first = places[which] if len(which) else np.zeros(0, np.int64), places[len(names) :]
+        which, first = places[which] if len(which) else places[:0].copy(), places[len(names) :]
         sizes = self.size[which]
         which[at[:-1]], sizes[at[:-1]] = first, np.where(first < 0, 0, self.size[first])
-        ends = np.r_[0, np.cumsum(sizes)]
-        ids = self.ids[np.repeat(self.begin[which] - ends[:-1], sizes) + np.arange(ends[-1])]
-        ends = ends[at]
+        ends = np.r_[0, np.cumsum(sizes, dtype=np.int32)].astype(np.int32)  # a batch holds fewer than 2**31 ids
+        from_here = np.repeat(self.begin[which] - ends[:-1], sizes)
+        from_here += np.arange(ends[-1], dtype=np.int32)
+        ids, ends = self.ids[from_here], ends[at].astype(np.int64)
         if not whole.any():
             return ids, ends
         parts = np.split(ids, ends[1:-1])
