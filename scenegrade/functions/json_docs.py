@@ -162,9 +162,13 @@ def is_blank(text: Column) -> Column:
     return strip(text) == ""
 
 
-def confidence_number(v: Column) -> Column:
-    """Lenient float: numbers, numeric strings and booleans; NULL otherwise."""
-    return F.try_variant_get(v, "$", "double")
+def lenient_number(j: Column) -> Column:
+    """Lenient float of leaf text: numbers, numeric strings and booleans; NULL otherwise."""
+    return (
+        F.when(j == "true", F.lit(1.0)).when(j == "false", F.lit(0.0))
+        .when(is_number(j), j.try_cast("double"))
+        .when(is_string(j), unquote(j).try_cast("double"))
+    )
 
 
 def numeric(j: Column) -> Column:

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from scenegrade.functions import json_docs as J
 from scenegrade.functions import schema as S
+from scenegrade.operators.leaves import fixed, with_leaves, without_leaves
 
 SCORE_COLUMNS = [
     "road", "env", "ts_kind", "ts_len", "lane_facts", "lane_known",
@@ -33,8 +34,8 @@ def first_risk(obj="obj") -> Column:
     return F.try_variant_get(J.col(obj), "$['Risk Assessment'][0]", "variant")
 
 
-def _slot_columns(df: DataFrame, name: str, v, slots) -> DataFrame:
-    """Add ``name`` (all tokens) and ``name_gated`` (tokens scored when gold)."""
+def _slot_columns(df: DataFrame, name: str, leaf, slots) -> DataFrame:
+    """Add ``name`` (all tokens) and ``name_gated`` (tokens scored when gold); ``leaf`` gives the text at a path."""
     index = {slot.path: i for i, slot in enumerate(slots)}
     raw = F.col(f"_raw_{name}")
 
@@ -45,7 +46,7 @@ def _slot_columns(df: DataFrame, name: str, v, slots) -> DataFrame:
         return ok
 
     return (
-        df.withColumn(f"_raw_{name}", F.array(*[J.leaf(v, slot.path) for slot in slots]))
+        df.withColumn(f"_raw_{name}", F.array(*[leaf(slot.path) for slot in slots]))
         .withColumn(
             name,
             F.transform(raw, lambda x, i: F.concat(i.cast("string"), F.lit("="), F.coalesce(J.canon(x), F.lit("~")))),
@@ -56,26 +57,18 @@ def _slot_columns(df: DataFrame, name: str, v, slots) -> DataFrame:
     )
 
 
-def _lanes(ts: Column) -> Column:
-    """Lanes with an integer id; of several with the same id the last one counts."""
-    kept = F.filter(ts, lambda e: J.is_integer(J.sub(e, "lane_id")))
-    rows = F.transform(
-        kept,
-        lambda e: F.struct(
-            F.try_variant_get(e, "$.lane_id", "bigint").cast("string").alias("id"),
-            J.canon(J.leaf(e, "status.value")).alias("s"),
-            J.canon(J.leaf(e, "vehicle_density.value")).alias("d"),
-        ),
-    )
-    return F.coalesce(rows, F.array().cast("array<struct<id:string,s:string,d:string>>"))
-
-
 def _lane_columns(df: DataFrame) -> DataFrame:
+    """Facts of the lanes with an integer id; of several with the same id the last one counts.
+
+    Lanes are sorted by id and place, so the last of an id is the one before another id.
+    """
     lanes = F.col("_lanes")
-    ids = F.reverse(F.transform(lanes, lambda x: x.id))
+
+    def placed(x, i):
+        return F.struct(x.n.alias("n"), i.alias("i"), x.n.cast("string").alias("id"), J.canon(x.s).alias("s"), J.canon(x.d).alias("d"))
 
     def per_lane(fn):
-        return F.flatten(F.transform(lanes, fn))
+        return F.coalesce(F.flatten(F.transform(lanes, fn)), F.array().cast("array<string>"))
 
     def fact(x, part):
         return F.concat(x.id, F.lit(f":{part}="), x[part])
@@ -83,20 +76,19 @@ def _lane_columns(df: DataFrame) -> DataFrame:
     def place(x, part, known):
         return F.when(x[part].isNotNull() if known else x[part].isNull(), F.concat(x.id, F.lit(f":{part}")))
 
-    ts = J.sub("obj", "traffic_status")
+    def is_last(x, i):
+        following = F.get("_by_id", i + 1)
+        return following.isNull() | (following.n != x.n)
+
     return (
-        df.withColumn("_ts", J.elements("obj", "traffic_status"))
-        .withColumn("ts_len", F.when(F.col("_ts").isNotNull(), F.size("_ts")))
+        df.withColumn("ts_len", F.when(F.col("_ts").isNotNull(), F.size("_ts")))
         .withColumn(
             "ts_kind",
-            F.when(F.col("_ts").isNotNull(), "list").when(ts.isNull() | F.is_variant_null(ts), "null").otherwise("other"),
-        )
-        .withColumn("_lanes", _lanes(F.col("_ts")))
-        .withColumn(
-            "_lanes",
-            F.filter(lanes, lambda x, i: F.array_position(ids, x.id) == F.size(lanes) - i),
+            F.when(F.col("_ts").isNotNull(), "list").when(F.col("_ts_null"), "null").otherwise("other"),
         )
-        .withColumn("n_lanes", F.size("_lanes"))
+        .withColumn("_by_id", F.array_sort(F.filter(F.transform("_ts", placed), lambda x: x.n.isNotNull())))
+        .withColumn("_lanes", F.filter("_by_id", is_last))
+        .withColumn("n_lanes", F.coalesce(F.size("_lanes"), F.lit(0)))
         .withColumn("lane_facts", F.array_compact(per_lane(lambda x: F.array(x.id, fact(x, "s"), fact(x, "d")))))
         .withColumn(
             "lane_known", F.array_compact(per_lane(lambda x: F.array(place(x, "s", True), place(x, "d", True))))
@@ -104,48 +96,40 @@ def _lane_columns(df: DataFrame) -> DataFrame:
         .withColumn(
             "lane_unknown", F.array_compact(per_lane(lambda x: F.array(place(x, "s", False), place(x, "d", False))))
         )
-        .drop("_ts", "_lanes")
+        .drop("_by_id", "_lanes")
     )
 
 
-def _event_columns(df: DataFrame, name: str, section: str, key_fields) -> DataFrame:
-    """Bag of events: distinct keys, and the summed count per key."""
+def _event_columns(df: DataFrame, name: str, events: str, key_fields) -> DataFrame:
+    """Bag of events: distinct keys, and the summed count per key.
 
-    def key(e):
-        parts = [J.leaf(e, f) for f in key_fields]
-        all_strings = J.is_string(parts[0])
-        for p in parts[1:]:
-            all_strings = all_strings & J.is_string(p)
-        return F.when(all_strings, F.concat_ws(",", *parts))
+    Events are sorted by key, so the events of a key are a run, which is summed on its own.
+    """
 
-    def count(e):
-        return F.when(J.is_integer(J.sub(e, "count")), F.try_variant_get(e, "$.count", "bigint")).otherwise(F.lit(0))
+    def key(x):
+        all_strings = F.lit(True)
+        for field in key_fields:
+            all_strings = all_strings & J.is_string(x[field])
+        return F.when(all_strings, F.concat_ws(",", *[x[field] for field in key_fields]))
 
-    events = F.transform(J.elements("obj", section), lambda e: F.struct(key(e).alias("k"), count(e).alias("c")))
-    bag, sums = F.col("_bag"), F.col("_sums")
-    keys = F.col(f"{name}_keys")
+    keyed = F.transform(events, lambda x: F.struct(key(x).alias("k"), F.coalesce(x.n, F.lit(0)).alias("c")))
+    bag, heads, sums = F.col("_bag"), F.col("_heads"), F.col("_sums")
+
+    def run(head, j):
+        size = F.coalesce(F.get(heads, j + 1), F.size(bag)) - head
+        total = F.aggregate(F.slice(bag, head + 1, size), F.lit(0).cast("bigint"), lambda acc, x: acc + x.c)
+        return F.struct(bag[head].k.alias("k"), total.alias("n"))
 
     def keys_where(pred):
         return F.transform(F.filter(sums, pred), lambda x: x.k)
 
+    none = F.array().cast("array<struct<k:string,c:bigint>>")
+    places = F.when(F.size(bag) > 0, F.sequence(F.lit(0), F.size(bag) - 1)).otherwise(F.array().cast("array<int>"))
     return (
-        df.withColumn("_bag", F.filter(events, lambda x: x.k.isNotNull()))
-        .withColumn(
-            f"{name}_keys",
-            F.coalesce(F.array_distinct(F.transform(bag, lambda x: x.k)), F.array().cast("array<string>")),
-        )
-        .withColumn(
-            "_sums",
-            F.transform(
-                keys,
-                lambda k: F.struct(
-                    k.alias("k"),
-                    F.aggregate(
-                        F.filter(bag, lambda x: x.k == k), F.lit(0).cast("bigint"), lambda acc, x: acc + x.c
-                    ).alias("n"),
-                ),
-            ),
-        )
+        df.withColumn("_bag", F.coalesce(F.array_sort(F.filter(keyed, lambda x: x.k.isNotNull())), none))
+        .withColumn("_heads", F.filter(places, lambda i: (i == 0) | (bag[i].k != F.get(bag, i - 1).k)))
+        .withColumn("_sums", F.transform(heads, run))
+        .withColumn(f"{name}_keys", F.transform(sums, lambda x: x.k))
         .withColumn(
             f"{name}_sums",
             F.transform(
@@ -154,25 +138,27 @@ def _event_columns(df: DataFrame, name: str, section: str, key_fields) -> DataFr
         )
         .withColumn(f"{name}_zero", keys_where(lambda x: x.n == 0))
         .withColumn(f"{name}_nonzero", keys_where(lambda x: x.n != 0))
-        .drop("_bag", "_sums")
+        .drop("_bag", "_heads", "_sums")
     )
 
 
 def _string_set(v, dotted: str) -> Column:
     """Distinct ``str()`` of list elements; anything but a list is empty."""
     return F.coalesce(
-        F.array_distinct(F.transform(J.elements(v, dotted), lambda x: J.py_str(F.to_json(x)))),
+        F.array_distinct(F.transform(F.transform(J.elements(v, dotted), lambda x: F.to_json(x)), J.py_str)),
         F.array().cast("array<string>"),
     )
 
 
 def _pair_set(v, dotted: str) -> Column:
-    def pair(p):
-        a, b = J.leaf(p, "leader_id"), J.leaf(p, "follower_id")
-        return F.when(J.is_string(a) & J.is_string(b), F.concat_ws(",", a, b))
+    def ends(p):
+        return F.struct(J.leaf(p, "leader_id").alias("a"), J.leaf(p, "follower_id").alias("b"))
+
+    def pair(x):
+        return F.when(J.is_string(x.a) & J.is_string(x.b), F.concat_ws(",", x.a, x.b))
 
     return F.coalesce(
-        F.array_distinct(F.array_compact(F.transform(J.elements(v, dotted), pair))),
+        F.array_distinct(F.array_compact(F.transform(F.transform(J.elements(v, dotted), ends), pair))),
         F.array().cast("array<string>"),
     )
 
@@ -180,7 +166,7 @@ def _pair_set(v, dotted: str) -> Column:
 def _risk_columns(df: DataFrame) -> DataFrame:
     df = df.withColumn("_ra", first_risk()).withColumn("_obs", J.sub("_ra", "observations"))
     df = df.withColumn("risk_ok", J.members("_obs").isNotNull())
-    df = _slot_columns(df, "obs", "_obs", S.OBSERVATION_SLOTS)
+    df = _slot_columns(df, "obs", lambda path: J.leaf("_obs", path), S.OBSERVATION_SLOTS)
 
     def value_true(name):
         return F.coalesce(J.leaf("_obs", f"{name}.value") == "true", F.lit(False))
@@ -199,9 +185,9 @@ def _risk_columns(df: DataFrame) -> DataFrame:
 
 def with_features(docs: DataFrame) -> DataFrame:
     """Add all feature columns to parsed documents; Catalyst drops the unused ones."""
-    df = _slot_columns(docs, "road", "obj", S.ROAD_SLOTS)
-    df = _slot_columns(df, "env", "obj", S.ENVIRONMENT_SLOTS)
+    df = _slot_columns(with_leaves(docs), "road", fixed, S.ROAD_SLOTS)
+    df = _slot_columns(df, "env", fixed, S.ENVIRONMENT_SLOTS)
     df = _lane_columns(df)
-    df = _event_columns(df, "veh", "vehicle_events", S.VEHICLE_KEY)
-    df = _event_columns(df, "ped", "pedestrian_events", S.PEDESTRIAN_KEY)
-    return _risk_columns(df)
+    df = _event_columns(df, "veh", "_ve", S.VEHICLE_KEY)
+    df = _event_columns(df, "ped", "_pe", S.PEDESTRIAN_KEY)
+    return without_leaves(_risk_columns(df))
