@@ -7,7 +7,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from scenegrade.llm.common import flat, pick, stored, tasks_for
+from scenegrade.llm.common import BROADCAST_IDS, flat, pick, spans, stored, tasks_for
 from scenegrade.llm.components import components
 
 
@@ -16,8 +16,8 @@ class Settings:
     """Shingle length; percent of overlap for a link; bands of rows minima each; low bits kept of every minimum.
 
     A pair at 80 percent shares no band with probability (1 - 0.8**4)**40, below 1e-9. `slack` is the number of
-    standard deviations by which an estimate may fall short of the limit before a candidate is given up unseen. `block`,
-    `bundle` and `portion` bound the documents that one task compares at a time.
+    standard deviations by which an estimate may fall short of the limit before a candidate is given up unseen. `block`
+    bounds the shingles that a task holds of either side of a comparison.
     """
 
     words: int = 5
@@ -26,9 +26,7 @@ class Settings:
     rows: int = 4
     bits: int = 4
     slack: float = 6.0
-    block: int = 1000
-    bundle: int = 128
-    portion: int = 2000
+    block: int = 2_000_000
 
     def least_equal(self) -> int:
         """Equal b-bit values that a candidate must show: the expectation at the limit, less the slack."""
@@ -37,8 +35,6 @@ class Settings:
         return int(n * p - self.slack * (n * p * (1 - p)) ** 0.5)
 
 
-#: Ids that a broadcast may hold; beyond, the join is a shuffle.
-BROADCAST_IDS = 2_000_000
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 _words: dict[bytes, int] = {}
 
@@ -153,58 +149,6 @@ def one_sure_hub(pairs: DataFrame, settings: Settings) -> DataFrame:
     return pairs.join(best, "v").filter(F.col("hub").isNull() | (F.col("hub") == F.col("u"))).select("u", "v")
 
 
-def requests(members: DataFrame, settings: Settings) -> DataFrame:
-    """(u, c): document u of a smaller component looks likely to link with some member of component c.
-
-    members: key, i, j, side, doc_id, component, of (size of the component), n_shingles, signature, bands. (key, i, j) is a pair
-    of blocks of a bucket, so a group is bounded by two blocks; within it all pairs are compared by bit counts and
-    size ratio, each pair in the first of its buckets. What leaves the task are documents with components, not pairs.
-    """
-    limit = settings.least_equal()
-
-    def found_in(group):
-        ids, comp, of, n, side = (group.column(c).to_numpy() for c in ("doc_id", "component", "of", "n_shingles", "side"))
-        sig = _matrix(group.column("signature"))
-        bands, key = group.column("bands").flatten().to_numpy().reshape(len(ids), -1), group.column("key")[0].as_py()
-        left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-        same = not len(right)
-        for k, p in enumerate(left):
-            q = left[k + 1 :] if same else right
-            q = q[(comp[q] != comp[p]) & (100 * np.minimum(n[q], n[p]) >= settings.percent * np.maximum(n[q], n[p]))]
-            q = q[equal_values(sig[q], sig[p][None], settings) >= limit] if len(q) else q
-            if len(q):
-                common = bands[q] == bands[p]
-                q = q[bands[p][common.argmax(axis=1)] == key]  # the first bucket that both share
-            if len(q):
-                smaller = (of[p] < of[q]) | (of[p] == of[q]) & (comp[p] < comp[q])
-                yield np.where(smaller, ids[p], ids[q]), np.where(smaller, comp[q], comp[p])
-
-    def run(batches):
-        seen, size = [], 0
-        for group in runs(batches, ["key", "i", "j"]):
-            for u, c in found_in(group):
-                seen.append((u, c))
-                size += len(u)
-                if size > 200_000:
-                    seen, size = [distinct_pairs(seen)], 0
-            if len(seen) and len(seen[0][0]) > 100_000:
-                yield pair_batch(seen, ["u", "c"])
-                seen, size = [], 0
-        if seen:
-            yield pair_batch(seen, ["u", "c"])
-
-    return members.mapInArrow(run, "u bigint, c bigint").distinct()
-
-
-def distinct_pairs(found: list) -> tuple[np.ndarray, np.ndarray]:
-    pairs = np.unique(np.stack([np.concatenate(x) for x in zip(*found)], 1), axis=0)
-    return pairs[:, 0], pairs[:, 1]
-
-
-def pair_batch(found: list, names: list[str]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(x) for x in distinct_pairs(found)], names=names)
-
-
 def runs(batches, key: list[str]):
     """Record batches of the consecutive rows with equal integer keys, of sorted batches."""
     rest = None
@@ -235,65 +179,122 @@ def shingle_sets(wanted: DataFrame, docs: DataFrame, settings: Settings) -> Data
     return stored(texts.mapInArrow(sets, "doc_id bigint, codes binary"), "sets")
 
 
-def confirmed_requests(asked: DataFrame, members: DataFrame, docs: DataFrame, settings: Settings) -> DataFrame:
-    """A link (u, v) for each request (u, c) that a full comparison with all members v of c confirms (doc_id, component).
+def joining_links(component: np.ndarray, at: np.ndarray, codes: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Links (places of two sets) that join sets of different components, enough to connect all that have a link.
 
-    The documents that ask one component are dealt into bundles, its members into portions; a task holds the sets of one
-    bundle and compares the members of one portion with all of them at once. One link for each is enough.
+    codes[at[k]:at[k + 1]] is set k. Every set is written as its differences from a reference B, the shingles that more
+    than half of the sets hold: r of B missing, a beyond B. Two sets with s differences in common share |B| - r - r' + s of
+    |B| + a + a' - s shingles, so they are linked if and only if (100 + percent) s >= w + w' - h, where
+    w = 100 r + percent a and h = (100 - percent) |B|. All with w at most h less the least w are linked to the set that
+    has it. Another pair needs s of at least one, so it shares a difference among the rarest ones of both (all but
+    s - 1 of either): those are looked up, and s is counted exactly. What nearly all sets of a large group have in
+    common is never compared.
     """
-    portion = F.ceil(F.col("n_members") / F.lit(settings.portion)).cast("int")
-    bundle = F.ceil(F.col("n_asking") / F.lit(settings.bundle)).cast("int")
-    sizes = members.groupBy(F.col("component").alias("c")).agg(F.count(F.lit(1)).alias("n_members"))
-    plan = asked.groupBy("c").agg(F.count(F.lit(1)).alias("n_asking")).join(sizes, "c")
-    plan = stored(plan.select("c", bundle.alias("bundles"), portion.alias("portions")), "plan")
-    upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    n = len(component)
+    owner = np.repeat(np.arange(n), np.diff(at))
+    _, token, count = np.unique(codes, return_inverse=True, return_counts=True)
+    common = 2 * count > n
+    size_b = int(common.sum())
+    held = np.zeros((n, size_b), bool)
+    inside = common[token]
+    held[owner[inside], (np.cumsum(common) - 1)[token[inside]]] = True
+    r, a = size_b - held.sum(1), np.diff(at) - held.sum(1)
+    w, h = 100 * r + percent * a, (100 - percent) * size_b
+
+    root = {c: c for c in component.tolist()}
+
+    def top(c):
+        while root[c] != c:
+            root[c] = c = root[root[c]]
+        return c
+
+    found, here = [], component.tolist()
+
+    def link(u, v):
+        x, y = top(here[u]), top(here[v])
+        if x != y:
+            root[x] = y
+            found.append((u, v))
+
+    least, first = int(w.min()), int(w.argmin())
+    core = w + least <= h
+    core[first] = True
+    for u in np.flatnonzero(core):
+        link(int(u), first)
+    if core.all():
+        return found
+
+    missing, gap = np.nonzero(~held)
+    own = np.concatenate([owner[~inside], missing])
+    what = np.concatenate([token[~inside], len(count) + gap])
+    times = np.bincount(what, minlength=len(count) + size_b)
+    order = np.lexsort((what, times[what], own))
+    own, what = own[order], what[order]
+    begin = np.searchsorted(own, np.arange(n + 1))
+    need = lambda own_w, other_w: -((h - own_w - other_w) // (100 + percent))  # noqa: E731  differences in common, rounded up
+    place = np.empty(n, np.int64)
+    by_weight = np.argsort(w, kind="stable")
+    place[by_weight] = np.arange(n)
+    rank = np.arange(len(own)) - begin[own]
+    kept = (rank <= (r + a - need(w, np.maximum(w, h - least + 1)))[own]) & (times[what] > 1)
+    index = np.sort(what[kept] * n + place[own[kept]])  # rare differences of each set, for sets of no less weight
+    mark = np.zeros(len(times), bool)
+    for u in by_weight[~core[by_weight]].tolist():
+        mine = what[begin[u] : begin[u + 1]]
+        rare = mine[: max(0, len(mine) - int(need(w[u], least)) + 1)]
+        low, high = np.searchsorted(index, rare * n), np.searchsorted(index, rare * n + place[u])
+        near = np.unique(index[spans(low, high - low)] % n)
+        near = by_weight[near]
+        near = near[[top(here[v]) != top(here[u]) for v in near.tolist()]] if len(near) else near
+        if not len(near):
+            continue
+        mark[mine] = True
+        sizes = begin[near + 1] - begin[near]
+        hits = np.r_[0, np.cumsum(mark[what[spans(begin[near], sizes)]])]
+        ends = np.cumsum(sizes)
+        same = hits[ends] - hits[ends - sizes]
+        mark[mine] = False
+        for v in near[(100 + percent) * same >= w[near] + w[u] - h].tolist():
+            link(u, v)
+    return found
+
+
+def hub_tasks(members: DataFrame, settings: Settings) -> DataFrame:
+    """(hub, i, j, doc_id, component): documents that a task compares, for buckets of more than one component.
+
+    members: key, doc_id, component, n_shingles, hub (smallest document of the bucket), main (its component). Buckets
+    with the same hub go together, so a document comes once for each hub. Documents of the main component are
+    dealt into blocks (j), the others into blocks (i), of bounded size; each block of others meets each main block, and,
+    with j below 0, each later block of others. A group of one block each sends every document once.
+    """
+    mixed = members.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).filter("a < b").select("key")
+    rows = members.join(mixed, "key", "left_semi").select("hub", "doc_id", "component", "n_shingles", (F.col("component") != F.col("main")).alias("other")).distinct()
+    rows = stored(rows, "hub_members")
+    blocks = lambda c: F.greatest(F.lit(1), F.ceil(F.sum(F.when(c, F.col("n_shingles")).otherwise(0)) / F.lit(settings.block))).cast("int")
+    plan = stored(rows.groupBy("hub").agg(blocks(F.col("other")).alias("others"), blocks(~F.col("other")).alias("mains")), "hub_blocks")
+    upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
     mine = lambda n: F.pmod(F.xxhash64("doc_id"), F.col(n)).cast("int")
-    left = asked.withColumnRenamed("u", "doc_id").join(plan, "c").select("c", mine("bundles").alias("i"), upto("portions").alias("j"), F.lit(0).alias("side"), "doc_id")
-    right = members.withColumnRenamed("component", "c").join(plan, "c").select("c", upto("bundles").alias("i"), mine("portions").alias("j"), F.lit(1).alias("side"), "doc_id")
-    rows = stored(left.union(right), "asked")
+    to_main = F.transform(upto("mains"), lambda j: F.struct(mine("others").alias("i"), j.alias("j")))
+    to_others = F.transform(F.filter(upto("others"), lambda o: o != mine("others")), lambda o: F.struct(F.least(o, mine("others")).alias("i"), (-F.greatest(o, mine("others"))).alias("j")))
+    of_main = F.transform(upto("others"), lambda i: F.struct(i.alias("i"), mine("mains").alias("j")))
+    dealt = rows.join(plan, "hub").withColumn("at", F.explode(F.when(F.col("other"), F.concat(to_main, to_others)).otherwise(of_main)))
+    return dealt.select("hub", "at.i", "at.j", "doc_id", "component")
+
+
+def joined_components(members: DataFrame, docs: DataFrame, settings: Settings) -> DataFrame:
+    """Links (u, v) between components, exact on full sets: for all pairs of a bucket that have one, the two are connected."""
+    rows = stored(hub_tasks(members, settings), "hub_tasks")
     sets = shingle_sets(rows.select("doc_id"), docs, settings)
-    rows = rows.join(sets, "doc_id").repartition(tasks_for(docs), "c", "i", "j").sortWithinPartitions("c", "i", "j", "side", "doc_id")
+    rows = rows.join(sets, "doc_id").repartition(tasks_for(docs), "hub", "i", "j").sortWithinPartitions("hub", "i", "j")
 
     def run(batches):
-        key, ids, held, ready, done = None, [], [], None, None
-        for batch in batches:
-            found = []
-            at, data = flat(batch.column("codes"))
-            data, at = data.view(np.uint64), at // 8
-            keys = zip(*(batch.column(c).to_pylist() for c in ("c", "i", "j")))
-            sides, docs_here = (batch.column(c).to_pylist() for c in ("side", "doc_id"))
-            for k, this in enumerate(keys):
-                codes = data[at[k] : at[k + 1]]
-                if this != key:
-                    key, ids, held, ready = this, [], [], None
-                if sides[k] == 0:
-                    ids.append(docs_here[k])
-                    held.append(codes.copy())
-                    continue
-                if not ids:
-                    continue
-                if ready is None:
-                    sizes = np.array([len(x) for x in held])
-                    owner = np.repeat(np.arange(len(held)), sizes)
-                    order = np.argsort(np.concatenate(held), kind="stable")
-                    ready, done = (np.concatenate(held)[order], owner[order], sizes), np.zeros(len(held), bool)
-                if done.all():
-                    continue
-                pool, owner, sizes = ready
-                a, b = np.searchsorted(pool, codes), np.searchsorted(pool, codes, "right")
-                n = b - a
-                hits = np.repeat(a - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
-                common = np.bincount(owner[hits], minlength=len(ids))
-                link = 100 * common >= settings.percent * (sizes + len(codes) - common)
-                for g in np.flatnonzero(link & ~done):
-                    if ids[g] != docs_here[k]:
-                        done[g] = True
-                        found.append((ids[g], docs_here[k]))
-            if found:
-                u, v = zip(*found)
-                yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
-
-    return rows.select("c", "i", "j", "side", "doc_id", "codes").mapInArrow(run, "u bigint, v bigint")
+        for group in runs(batches, ["hub", "i", "j"]):
+            ids, component = (group.column(c).to_numpy() for c in ("doc_id", "component"))
+            at, data = flat(group.column("codes"))
+            found = np.array(joining_links(component, at // 8, data.view(np.uint64), settings.percent), np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[found[:, 0]]), pa.array(ids[found[:, 1]])], names=["u", "v"])
+
+    return rows.select("hub", "i", "j", "doc_id", "component", "codes").mapInArrow(run, "u bigint, v bigint")
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, settings: Settings) -> DataFrame:
@@ -321,10 +322,10 @@ def near_duplicates(documents: DataFrame, settings: Settings = Settings()) -> Da
     """One row per row of `documents`: doc_id, n_shingles, component_id, kept (doc_id = component_id).
 
     Documents with equal sets form a class, represented by its smallest id. Representatives meet in buckets of equal
-    band keys. First, each is compared with the smallest of each bucket (as many pairs as bucket rows). Then
-    signatures are compared within buckets, in blocks, for documents still in different components; where a pair looks
-    likely, the document of the smaller component is compared with all members of the other. Every link is confirmed on
-    full sets, and nothing is capped.
+    band keys. First, each is compared with the smallest of each bucket, its hub (as many pairs as bucket rows), as far as
+    their signatures look likely. Then the buckets that still hold several components are searched for links between
+    them, by the differences of their sets from what most of them share. Every link is exact on full sets, and
+    nothing is capped.
 
     Words are lower-cased A-Z only. Null, empty and blank texts have no shingles, are linked with nothing and kept.
     Rows with the same id count as one node, so all their texts share a component. Rows with a null id are linked
@@ -348,17 +349,12 @@ def near_duplicates(documents: DataFrame, settings: Settings = Settings()) -> Da
     first = stored(confirmed(stored(one_sure_hub(stored(likely(signed.select("u", "v", "su", "sv"), settings), "likely"), settings), "candidates"), docs, settings), "confirmed")
 
     groups = components(first)
-    sized = groups.join(groups.groupBy("component").agg(F.count(F.lit(1)).alias("of")), "component").withColumnRenamed("node", "doc_id")
-    own = [F.coalesce("component", "doc_id").alias("component"), F.coalesce("of", F.lit(1)).alias("of")]
-    members = stored(buckets.select("key", "doc_id", "n_shingles", "size").join(sized, "doc_id", "left").select("key", "doc_id", "n_shingles", "size", *own), "members")
-    mixed = members.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).filter("a < b").select("key")
-    blocks = F.ceil(F.col("size") / F.lit(settings.block)).cast("int")
-    dealt = members.join(mixed, "key", "left_semi").withColumn("blocks", blocks).withColumn("mine", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
-    others = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least("mine", o).alias("i"), F.greatest("mine", o).alias("j"), (F.col("mine") > o).cast("int").alias("side")))
-    tasks = dealt.withColumn("block", F.explode(others)).select("key", "block.i", "block.j", "block.side", "doc_id", "component", "of", "n_shingles")
-    tasks = tasks.join(reps.select("doc_id", "signature", "bands"), "doc_id").repartition(tasks_for(documents), "key", "i", "j").sortWithinPartitions("key", "i", "j")
-    asked = stored(requests(tasks, settings), "requests")
-    second = confirmed_requests(asked, members.select("doc_id", "component").distinct(), docs, settings)
+    here = F.coalesce("component", "doc_id").alias("component")
+    of_hub = groups.select(F.col("node").alias("hub"), F.col("component").alias("main"))
+    members = buckets.select("key", "doc_id", "n_shingles", "hub.doc_id").toDF("key", "doc_id", "n_shingles", "hub")
+    members = members.join(groups.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "doc_id", "n_shingles", "hub", here)
+    members = members.join(of_hub, "hub", "left").withColumn("main", F.coalesce("main", "hub"))
+    second = joined_components(stored(members, "members"), docs, settings)
 
     found = components(first.union(second).union(copies))
     out = sketch.select("doc_id", "n_shingles").join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left")
