@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from scenegrade.llm.common import flat, open_row, pick, stored, with_row
+from scenegrade.llm.common import BROADCAST_IDS, flat, open_row, pick, stored, with_row
 
 SPACE = b" \t\n\x0b\x0c\r"
 SYMBOLS = b"#*$%&|<>"
@@ -26,6 +26,8 @@ RULES = {
 }
 #: Strata by number of words: lower bounds.
 STRATA = [0, 200, 1000]
+#: Bad rows that a step must reject for each good one, to be tried.
+GOOD_WEIGHT = 50
 
 
 def repeated_words(words: list[bytes], width: int = 3) -> int:
@@ -111,48 +113,79 @@ def upper_bound(rejected: int, n: int, delta: float) -> float:
     return high
 
 
+def order_of_steps(rows: list[tuple[tuple, int, int]]) -> list[tuple]:
+    """Cutoff places of the rules (0: off, k: the k-th of its steps), from loose to tight, chosen on the rows given.
+
+    rows: (levels, quality, count), where a level is the number of a rule's cutoffs that the row lies above; its k-th step
+    rejects it if the level is more than len(steps) - k. Each next entry tightens one rule, by the steps that gain most:
+    bad rows newly rejected less GOOD_WEIGHT for each good one, of equal gains the first rule and the loosest step. The
+    list ends when no step gains.
+    """
+    sizes = [len(steps) for steps in RULES.values()]
+    levels = np.array([r[0] for r in rows], np.int64).reshape(-1, len(RULES))
+    quality, count = (np.array([r[k] for r in rows], np.int64) for k in (1, 2))
+    worth = np.where(quality == 0, 1, -GOOD_WEIGHT) * count
+    now, out, gone = [0] * len(RULES), [], np.zeros(len(rows), bool)
+    while True:
+        best, step = 0, None
+        for i, size in enumerate(sizes):
+            for k in range(now[i] + 1, size + 1):
+                gain = int(worth[(levels[:, i] > size - k) & ~gone].sum())
+                if gain > best:
+                    best, step = gain, (i, k)
+        if step is None:
+            return out
+        now[step[0]] = step[1]
+        gone |= levels[:, step[0]] > sizes[step[0]] - step[1]
+        out.append(tuple(now))
+
+
+def rejected(levels: np.ndarray, places: tuple) -> np.ndarray:
+    """Rows that at least one rule rejects at these places."""
+    return np.any([levels[:, i] > len(steps) - k for i, (steps, k) in enumerate(zip(RULES.values(), places))], axis=0)
+
+
 def choose_cutoffs(counts: dict, alpha: float = 0.05, delta: float = 0.05) -> dict:
     """Cutoffs by (stratum, rule).
 
-    counts[stratum, rule, quality] is an array: rows whose value is above each cutoff, with the number of rows last.
-    A cutoff may be chosen only if the exact upper bound on its rate of false rejection (good rows rejected) is at
-    most alpha / rules, at confidence 1 - delta / tests (Bonferroni over strata, rules and cutoffs), so all rules
-    together falsely reject at most alpha in each stratum with probability 1 - delta. Of the certified cutoffs, the
-    one with the most bad rows rejected per stratum is taken, counting a good row rejected as 50 bad ones lost, ties
-    to the loosest. A rule without a certified, useful cutoff stays off: its cutoff is infinite.
+    counts[stratum, held_out] is a list of (levels, quality, count) of the labelled rows. The rows that are not held out fix
+    the order in which cutoffs are tried, from loose to tight. Each set of cutoffs in it is tested on the held-out good
+    rows: the exact upper bound on the share that all rules together reject, at confidence 1 - delta / strata
+    (Bonferroni over strata), must be at most alpha. The last set before the first failure is taken (tests of a
+    fixed sequence need no further correction), so with probability 1 - delta the rules falsely reject at most
+    alpha in every stratum. With no good row rejected this takes 80 held-out good rows at the defaults.
+    A rule without a certified cutoff stays off: its cutoff is infinite.
     """
-    tests = len(STRATA) * sum(map(len, RULES.values()))
-    chosen = {}
+    chosen = {(s, rule): math.inf for s in range(len(STRATA)) for rule in RULES}
     for s in range(len(STRATA)):
-        for rule, steps in RULES.items():
-            none = np.zeros(len(steps) + 1, np.int64)
-            good, bad = (counts.get((s, rule, q), none) for q in (1, 0))
-            best, chosen[s, rule] = 0, math.inf
-            for i, cutoff in enumerate(steps):
-                gain = int(bad[i]) - 50 * int(good[i])
-                if gain > best and upper_bound(int(good[i]), int(good[-1]), delta / tests) <= alpha / len(RULES):
-                    best, chosen[s, rule] = gain, cutoff
+        good = [(r[0], r[2]) for r in counts.get((s, True), []) if r[1] == 1]
+        levels, n = np.array([g[0] for g in good], np.int64).reshape(-1, len(RULES)), np.array([g[1] for g in good], np.int64)
+        for places in order_of_steps(counts.get((s, False), [])):
+            lost = int(n[rejected(levels, places)].sum())
+            if upper_bound(lost, int(n.sum()), delta / len(STRATA)) > alpha:
+                break
+            chosen.update({(s, rule): steps[k - 1] for (rule, steps), k in zip(RULES.items(), places) if k})
     return chosen
 
 
 def fit(measured: DataFrame, labels: DataFrame, alpha: float = 0.05, delta: float = 0.05) -> dict:
     """Cutoffs from all labelled rows of `measured` (doc_id, BASE, rules) that pass the base rules.
 
-    The counts gathered are one row per stratum, rule and label, whatever the input. Labels of 0 or 1 count, others
-    and null ids don't. A document with several labels counts once for each different one.
+    A quarter of them, by a hash of the id, fixes the order of the cutoffs, three quarters are held out to certify them.
+    What is gathered is one row per stratum, part, label and combination of levels, at most a few thousand whatever the
+    input. Labels of 0 or 1 count, others and null ids don't. A document with several labels counts once for
+    each different one.
     """
     labelled = pick(labels, doc_id="doc_id", quality="quality").filter("quality in (0, 1)").distinct()
-    sums = []
-    for i, (rule, steps) in enumerate(RULES.items()):
-        sums += [F.sum((F.col("rules")[i] > c).cast("long")).alias(f"{rule}_{j}") for j, c in enumerate(steps)]
+    levels = [sum(((F.col("rules")[i] > c).cast("int") for c in steps), F.lit(0)) for i, steps in enumerate(RULES.values())]
+    held_out = (F.pmod(F.xxhash64("doc_id"), F.lit(4)) != 0).alias("held_out")
     rows = (
-        measured.filter(~base_failed()).join(labelled, "doc_id").groupBy(stratum().alias("s"), "quality")
-        .agg(F.count(F.lit(1)).alias("n"), *sums).collect()
+        measured.filter(~base_failed()).select("doc_id", stratum().alias("s"), held_out, F.array(*levels).alias("levels")).join(labelled, "doc_id")
+        .groupBy("s", "held_out", "levels", "quality").agg(F.count(F.lit(1)).alias("n")).collect()
     )
-    counts = {
-        (r["s"], rule, r["quality"]): np.array([*(r[f"{rule}_{j}"] for j in range(len(steps))), r["n"]])
-        for r in rows for rule, steps in RULES.items()
-    }
+    counts: dict = {}
+    for r in sorted(rows):
+        counts.setdefault((r["s"], r["held_out"]), []).append((tuple(r["levels"]), r["quality"], r["n"]))
     return choose_cutoffs(counts, alpha, delta)
 
 
@@ -178,8 +211,14 @@ def quality_verdicts(documents: DataFrame, labels: DataFrame, alpha: float = 0.0
 
 
 def keep_good(documents: DataFrame, labels: DataFrame, alpha: float = 0.05, delta: float = 0.05) -> DataFrame:
-    """The rows of `documents` that the rules keep, with all columns. No text is shuffled: it is measured twice."""
-    measured = with_measures(pick(documents, doc_id="doc_id", text="text"))
-    cutoffs = fit(measured, labels, alpha, delta)
+    """The rows of `documents` that the rules keep, with all columns.
+
+    Labelled documents are measured for the fit, then all for the verdict, so that no text is stored. Null, empty and
+    blank texts go; rows with a null id or none in `labels` are judged by the same cutoffs; repeated rows stay repeated.
+    """
+    given = pick(documents, doc_id="doc_id", text="text")
+    ids = stored(pick(labels, doc_id="doc_id", quality="quality").filter("quality in (0, 1)").select("doc_id").distinct(), "labelled")
+    few = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    cutoffs = fit(with_measures(given.join(few, "doc_id", "left_semi")), labels, alpha, delta)
     rows = with_measures(with_row(documents, text="text"))
     return open_row(rows.filter(~base_failed() & passes(cutoffs)), documents)

@@ -98,7 +98,7 @@ def brute_groups(rows, width, percent):
 
 @pytest.mark.parametrize("width", [2, 5])
 def test_near_duplicates(spark, corpus, width):
-    small = near_dedup.Settings(words=width, block=3, bundle=2, portion=2)
+    small = near_dedup.Settings(words=width, block=300)
     rng = random.Random(7)
     base = [f"w{k}" for k in range(60)]
     chain = []
@@ -121,6 +121,64 @@ def test_near_duplicates_odd_input(spark, corpus):
     assert near_dedup.near_duplicates(df.limit(0)).count() == 0
 
 
+def near_limit_group(rng, n, first=0):
+    """Near copies of one 120-word text with 1 to 7 changed words: with 2-word shingles many pairs lie close to the limit."""
+    base, rows = [f"b{k}" for k in range(120)], []
+    for k in range(n):
+        text = base[:]
+        for place in rng.sample(range(120), rng.randint(1, 7)):
+            text[place] = f"c{first + k}x{place}"
+        rows.append((first + k, " ".join(text), "en", "s"))
+    return rows
+
+
+def test_links_near_the_limit_are_searched_in_linear_rows(spark, monkeypatch):
+    rows_of = {}
+    for n in (200, 400):
+        given, stored, seen = near_limit_group(random.Random(n), n), near_dedup.stored, {}
+
+        def counted(df, name, path=None, stored=stored, seen=seen):
+            out = stored(df, name, path)
+            seen[name] = seen.get(name, 0) + out.count()
+            return out
+
+        monkeypatch.setattr(near_dedup, "stored", counted)
+        found = near_dedup.near_duplicates(documents(spark, given), near_dedup.Settings(words=2)).collect()
+        monkeypatch.undo()
+        assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in found} == brute_groups(given, 2, 80)
+        rows_of[n] = seen
+    for documents_in, seen in rows_of.items():  # no table has more rows than the documents have bands
+        assert max(seen.values()) <= near_dedup.Settings().bands * documents_in, seen
+
+
+@pytest.mark.parametrize("percent", [50, 80, 95])
+def test_joining_links_connect_what_brute_force_connects(percent):
+    rng = random.Random(percent)
+    for trial in range(60):
+        n, size = rng.randint(2, 14), rng.randint(3, 30)
+        base = rng.sample(range(1000), size)
+        sets = []
+        for _ in range(n):
+            own = [x for x in base if rng.random() > rng.choice([0.02, 0.1, 0.5])] + rng.sample(range(1000, 1040), rng.randint(0, 4))
+            sets.append(sorted(set(own)) or [7])
+        component = [rng.randrange(n) for _ in range(n)]
+        at = np.cumsum([0, *map(len, sets)])
+        codes = np.array([x for s in sets for x in s], np.uint64)
+        found = near_dedup.joining_links(np.array(component), at, codes, percent)
+
+        def groups(links):
+            root = {c: c for c in component}
+            for u, v in links:
+                a, b = component[u], component[v]
+                a, b = root[a], root[b]
+                root = {c: (min(a, b) if r in (a, b) else r) for c, r in root.items()}
+            return root
+
+        linked = lambda u, v: 100 * len({*sets[u]} & {*sets[v]}) >= percent * len({*sets[u]} | {*sets[v]})
+        assert all(linked(u, v) for u, v in found)
+        assert groups(found) == groups([(u, v) for u in range(n) for v in range(u) if linked(u, v)])
+
+
 def test_signature_estimate():
     s = near_dedup.Settings()
     a = near_dedup.shingles(" ".join(map(str, range(3000))).encode(), 1)
@@ -145,6 +203,46 @@ def test_language_identification(spark, corpus):
     assert {r["lang_pred"] for r in language_id.identify(rows, None, "body").collect()} == {"und"}
 
 
+def test_language_query_learns_from_the_others_only(spark, tmp_path):
+    """The held-out rule, and that id, source and language of a document are no inputs of its prediction."""
+    rng = random.Random(9)
+    stock = {x: ["".join(rng.choice(a) for _ in range(rng.randint(2, 8))) for _ in range(200)] for x, a in (("aa", "abcdefgh"), ("bb", "stuvwxyz"))}
+    rows = [(k, words(rng, 30, stock["aa" if k % 2 else "bb"]), "aa" if k % 2 else "bb", "s") for k in range(200)]
+    # the same texts again, as held-out documents with wrong labels and as unlabelled ones
+    out = [k for k in range(1000, 5000) if zlib.crc32(str(k).encode()) % 4 == 2][:40]
+    rows += [(d, rows[k][1], "zz", "elsewhere") for k, d in enumerate(out)] + [(9000 + k, rows[k][1], None, None) for k in range(40)]
+    rows += [(None, rows[1][1], None, None), (7, rows[7][1], "aa", "s"), (9100, "ab", None, None), (9101, None, "aa", None), (9102, "1 2", "bb", None)]
+    from scenegrade.llm.queries import op1_language_id
+
+    for part, given in (("all", rows), ("none", [])):
+        documents(spark, given).toDF("doc_id", "text", "lang", "source", "n_chars", "held_out", "score", "h").write.parquet(f"{tmp_path}/{part}/documents.parquet")
+    found = {}
+    for r in op1_language_id(spark, f"{tmp_path}/all").collect():
+        assert r["held_out"] == (r["doc_id"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2)
+        found.setdefault(r["doc_id"], []).append((r["lang_pred"], r["score"]))
+    assert {x for v in found.values() for x, _ in v} == {"aa", "bb", "und"}  # the label of held-out rows is never learned
+    for k in range(40):
+        assert found[k][0] == found[out[k]][0] == found[9000 + k][0]
+    assert len(found[7]) == 2 and len(set(found[7])) == 1 and found[None][0] == found[1][0]
+    assert found[9101] == found[9102] == [("und", 0.0)]
+    assert op1_language_id(spark, f"{tmp_path}/none").count() == 0
+
+
+def test_ties_between_languages_go_to_the_first(spark):
+    same = [("bb", "abab baba"), ("aa", "abab baba"), ("aa", "aabb"), ("bb", "aabb")]
+    model = language_id.fit(spark.createDataFrame(same, "lang string, text string"))
+    found = language_id.identify(spark.createDataFrame([("abba",)], "text string"), model).collect()[0]
+    assert (found["lang_pred"], found["score"]) == ("aa", 0.5)
+
+
+def test_many_languages_keep_the_table_small():
+    texts = [(f"l{k}", bytes(range(97, 117)) * 20 + bytes([97 + k % 20, 100, 98]) * 30) for k in range(50)]
+    model = language_id.train(texts, table_bytes=200_000)
+    assert model.bits.nbytes <= 4 * 200_000 + 4 * 50 * 22 and len(model.languages) == 50
+    whole = language_id.train(texts)
+    assert whole.bits.nbytes > model.bits.nbytes
+
+
 def test_code_lengths_against_direct_computation():
     texts = [("a", b"abracadabra abra"), ("b", b"banana bandana")]
     model = language_id.train(texts, contexts=100, least=1)
@@ -192,21 +290,80 @@ def brute_measures(text):
 
 def test_quality_measures_and_risk(spark, corpus):
     rng = random.Random(1)
-    clean = [(k, words(rng, 60, [f"w{x}" for x in range(500)]), "en", "s") for k in range(5000, 7600)]
+    clean = [(k, words(rng, 60, [f"w{x}" for x in range(500)]), "en", "s") for k in range(5000, 5300)]
     junk = [(k, words(rng, 60, [f"w{x}###" for x in range(500)]) + "\n\nx\nx", "en", "s") for k in range(8000, 8040)]
     rows = [*corpus, *clean, *junk]
-    labels = spark.createDataFrame([(k, int(k < 8000), 0) for k in [*range(5000, 7600), *range(8000, 8030), 8030, 8030]] + [(None, 1, 0), (1, None, 0)], "doc_id bigint, quality int, toxic int")
+    labels = spark.createDataFrame([(k, int(k < 8000), 0) for k in [*range(5000, 5300), *range(8000, 8030), 8030, 8030]] + [(None, 1, 0), (1, None, 0), (304, 1, 0)], "doc_id bigint, quality int, toxic int")
     found = {r["doc_id"]: r for r in quality_rules.quality_verdicts(documents(spark, rows), labels).collect()}
     for d, t, *_ in rows:
-        if d != 304:
-            assert tuple(found[d][c] for c in quality_rules.BASE) == brute_measures(t)
+        assert tuple(found[d][c] for c in quality_rules.BASE) == brute_measures(t)
         n, repeat = found[d]["n_words"], found[d]["n_repeat_words"]
         assert found[d]["base_failed"] == (n < 50 or 100 * repeat > 50 * n)
-    assert all(found[k]["kept"] for k in range(5000, 7600)) and not any(found[k]["kept"] for k in range(8000, 8040))
+    assert all(found[k]["kept"] for k in range(5000, 5300)) and not any(found[k]["kept"] for k in range(8000, 8040))
     off = quality_rules.quality_verdicts(documents(spark, rows), labels.limit(0)).filter("kept = base_failed")
     assert off.count() == 0
     stay = quality_rules.keep_good(documents(spark, rows), labels)
     assert {r[0] for r in stay.collect()} == {d for d, r in found.items() if r["kept"]} and stay.columns == documents(spark, []).columns
+    assert quality_rules.keep_good(documents(spark, []), labels).count() == quality_rules.quality_verdicts(documents(spark, []), labels).count() == 0
+    again = quality_rules.keep_good(documents(spark, [*rows, rows[-1], clean[0], clean[0], (None, clean[0][1], None, None)]), labels)
+    assert again.count() == stay.count() + 3
+
+
+def brute_cutoffs(counts, alpha, delta):
+    """Cutoffs by trying, for every stratum, the sets of cutoffs one after the other on lists of single rows."""
+    rules = list(quality_rules.RULES.items())
+    chosen = {(s, rule): math.inf for s in range(len(quality_rules.STRATA)) for rule, _ in rules}
+
+    def hit(levels, places):
+        return any(k and levels[i] >= len(steps) - k + 1 for i, ((_, steps), k) in enumerate(zip(rules, places)))
+
+    for s in range(len(quality_rules.STRATA)):
+        first = [(lv, q) for lv, q, n in counts.get((s, False), []) for _ in range(n)]
+        good = [lv for lv, q, n in counts.get((s, True), []) for _ in range(n) if q == 1]
+        places = [0] * len(rules)
+        while True:
+            options = []
+            for i, (_, steps) in enumerate(rules):
+                for k in range(places[i] + 1, len(steps) + 1):
+                    new = [*places[:i], k, *places[i + 1 :]]
+                    fresh = [q for lv, q in first if hit(lv, new) and not hit(lv, places)]
+                    options.append((fresh.count(0) - quality_rules.GOOD_WEIGHT * fresh.count(1), -i, -k, new))
+            gain, _, _, new = max(options)
+            if gain <= 0:
+                break
+            places, lost, n = new, sum(hit(lv, new) for lv in good), len(good)
+            # the bound exceeds alpha exactly if so few losses are not too unlikely at a rate of alpha
+            tail = sum(math.comb(n, j) * alpha**j * (1 - alpha) ** (n - j) for j in range(lost + 1))
+            if n == 0 or tail > delta / len(quality_rules.STRATA):
+                break
+            for i, (rule, steps) in enumerate(rules):
+                if places[i]:
+                    chosen[s, rule] = steps[places[i] - 1]
+    return chosen
+
+
+def test_cutoffs_against_brute_force():
+    rng = random.Random(8)
+    sizes = [len(steps) for steps in quality_rules.RULES.values()]
+    certified = 0
+    for _ in range(25):
+        counts = {}
+        for s in range(3):
+            for held_out in (False, True):
+                rows = Counter()
+                for _ in range(rng.choice([5, 60, 200])):
+                    bad = rng.random() < 0.2
+                    rows[tuple(min(n, int(rng.expovariate(0.25 if bad else 3))) for n in sizes), int(not bad)] += 1
+                counts[s, held_out] = [(lv, q, n) for (lv, q), n in sorted(rows.items())]
+        found = quality_rules.choose_cutoffs(counts, 0.1, 0.2)
+        assert found == brute_cutoffs(counts, 0.1, 0.2)
+        certified += sum(map(math.isfinite, found.values()))
+    assert certified > 20
+    assert set(quality_rules.choose_cutoffs({}).values()) == {math.inf}
+    enough = [((3, 0, 0, 0, 0), 0, 5)]
+    for n, acts in ((79, False), (80, True)):  # good rows held out that a stratum takes
+        found = quality_rules.choose_cutoffs({(0, False): enough, (0, True): [((0, 0, 0, 0, 0), 1, n)]})
+        assert math.isfinite(found[0, "mark_share"]) == acts
 
 
 def test_exact_binomial_bound():
