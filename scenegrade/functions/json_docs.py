@@ -88,7 +88,8 @@ def canon(j: Column) -> Column:
     number = j.cast("double")
     whole = (F.rint(number) == number) & (F.abs(number) < 9e18)
     return (
-        F.when(j == "null", F.lit(None).cast("string"))
+        F.when(j.startswith('"'), j)
+        .when(j == "null", F.lit(None).cast("string"))
         .when(j == "true", F.lit("1"))
         .when(j.isin("false", "-0"), F.lit("0"))
         .when(j.rlike("^-?[0-9]+$"), j)

@@ -92,7 +92,3 @@ def has_metadata(spark: SparkSession, folder: str, name: str = "metadata.jsonl")
     found = spark.read.format("binaryFile").option("pathGlobFilter", name).load(folder)
     return not found.select("path").isEmpty()
 
-
-def read_parsed(files: DataFrame) -> DataFrame:
-    """Parsed documents of a file listing."""
-    return J.parse_documents(files)
