@@ -96,8 +96,11 @@ _METADATA = """CASE event_id % 7 WHEN 3 THEN 'expected_one_video' WHEN 4 THEN 'm
 
 QUERIES = {
     "student_name_match": f"WITH {_GOLD_NAMES}, ids AS (SELECT video_id FROM gold), {_MATCHES} SELECT path, video_id, model FROM matches",
-    "model_filter": f"""WITH {_GOLD_NAMES}, ids AS (SELECT video_id FROM gold ORDER BY video_id LIMIT 500), {_MATCHES}
+    "model_filter": f"""WITH {_GOLD_NAMES}, ids AS (SELECT video_id FROM gold), {_MATCHES}
       SELECT path, video_id, model FROM matches WHERE replace(model, '-', '_') IN ('alpha_2b', 'alpha_8b')""",
+    "first_videos": f"WITH {_GOLD_NAMES} SELECT video_id FROM gold ORDER BY concat(video_id, '.json') LIMIT 500",
+    "student_order": f"""WITH {_GOLD_NAMES}, ids AS (SELECT video_id FROM gold), {_MATCHES}
+      SELECT path, video_id, model, row_number() OVER (PARTITION BY video_id ORDER BY model, path) AS position FROM matches""",
     "run_consensus_weight": with_base(
         SLOTS, scores_ctes(_RUN_PAIRS), _WEIGHTS, select="SELECT video_id, round(weight, 6) AS weight FROM weights"
     ),

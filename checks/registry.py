@@ -14,11 +14,13 @@ from scenegrade.operators import consensus as C
 from scenegrade.operators import rates
 from scenegrade.operators import trainset as T
 from scenegrade.operators.agreement import run_agreement
-from scenegrade.operators.naming import match_students
+from scenegrade.operators.naming import match_students, sorted_students
 from scenegrade.operators.score import METRICS, score_pairs
 from scenegrade.operators.validate import error_summary, with_validation
 from scenegrade.plans import gold as G
 from scenegrade.plans import leaderboard as L
+from scenegrade.plans.evaluate import score_tables
+from scenegrade.sources import store
 from scenegrade.sources.files import media_data_urls
 
 QUERIES = {}
@@ -162,7 +164,21 @@ def consensus_risk(spark, sf_dir):
 
 @query
 def consensus_documents(spark, sf_dir):
-    return G.gold_documents(runs(spark, sf_dir), min_valid=4)  # some videos have fewer, some four, some five
+    stored = store.write_runs(D.run_texts(spark, sf_dir).select("file_name", "text"), store.shared_path(spark, "runs"))
+    return G.gold_documents(stored, min_valid=4)  # some videos have fewer, some four, some five
+
+
+@query
+def stored_leaderboard(spark, sf_dir):
+    """Names matched and models scored over stores of gold documents and results, nothing parsed after the stores."""
+    texts = D.student_texts(spark, sf_dir).select(
+        F.concat(F.lit("/results/"), "video_id", F.lit("_"), "model", F.lit(".json")).alias("path"),
+        F.concat("video_id", F.lit("_"), "model", F.lit(".json")).alias("file_name"), "text",
+    )
+    stores = [(D.gold_texts(spark, sf_dir), "gold"), (texts, "results")]
+    _, summary = score_tables(*[store.write_documents(docs, store.shared_path(spark, name)) for docs, name in stores])
+    names = ["parse_rate", "schema_rate", "rule_rate", "global_slot_macro_acc_mean", "vehicle_events_macro_acc_mean"]
+    return rounded(summary.select("model", "n_videos", *names), names)
 
 
 # ---- names and agreement ------------------------------------------------------
@@ -193,11 +209,22 @@ def student_name_match(spark, sf_dir):
 
 @query
 def model_filter(spark, sf_dir):
-    first = L.first_videos(_gold_names(spark, sf_dir).select("video_id"), 500)
-    matched = match_students(_student_names(spark, sf_dir), first)
+    matched = match_students(_student_names(spark, sf_dir), _gold_names(spark, sf_dir).select("video_id"))
     return L.filter_models(matched, ["alpha-2b", "alpha_8b"])
 
 
+@query
+def first_videos(spark, sf_dir):
+    """The limit is the feature: the first 500 gold documents in file-name order."""
+    return L.first_videos(_gold_names(spark, sf_dir).select("video_id"), 500)
+
+
+@query
+def student_order(spark, sf_dir):
+    matched = match_students(_student_names(spark, sf_dir), _gold_names(spark, sf_dir).select("video_id"))
+    return sorted_students(matched)
+
+
 @query
 def teacher_run_names(spark, sf_dir):
     """Run files of both namings among files that are none."""

@@ -1,12 +1,16 @@
 """Training examples: pairing, exact splits, chat layout, truncation and label masks."""
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from scenegrade.functions import json_docs as J
 from scenegrade.functions import names as N
 from scenegrade.sources.files import below_root
+from scenegrade.sources.store import shared_path
 
-SPLIT_BUCKETS = 65536
+#: Hexadecimal digits that a step of the split looks at.
+DIGITS = 4
 IGNORED_LABEL = -100
 
 
@@ -89,37 +93,46 @@ def metadata_examples(lines: DataFrame, video_root: str, line: str = "value"):
 
 
 # ---- exact split -------------------------------------------------------------
-def exact_split(pairs: DataFrame, ratio: float = 0.8, seed: int = 42, key: str = "stem") -> DataFrame:
+def _cut_prefix(rows: DataFrame, cut: int) -> str:
+    """Text below which exactly ``cut`` of the distinct ``_order`` texts of ``rows`` sort.
+
+    The texts are counted by their first DIGITS characters; in the one group that the cut falls into they are counted
+    by the next ones, and so on, until the cut lies between two groups. A step sees one row per group, and only rows
+    that share the prefix so far: nothing is sorted as a whole.
+    """
+    prefix, before = "", 0
+    while True:
+        head = F.substring("_order", 1, len(prefix) + DIGITS)
+        counts = rows.filter(F.col("_order").startswith(prefix)).groupBy(head.alias("head")).agg(F.count(F.lit(1)).alias("n"))
+        # one row per value of the next digits: at most 65,536, however many rows there are
+        sums = counts.withColumn("until", F.sum("n").over(Window.orderBy("head")) + F.lit(before))
+        hit = sums.filter(F.col("until") > cut).orderBy("head").limit(1).collect()
+        if not hit:
+            return "~"  # all rows lie below: no digit is greater
+        head, n, until = hit[0]
+        if until - n == cut:
+            return head
+        prefix, before = head, until - n
+
+
+def exact_split(pairs: DataFrame, ratio: float = 0.8, seed: int = 42, key: str = "stem", store: str | None = None) -> DataFrame:
     """Add ``split``: exactly ``floor(n * ratio)`` rows are ``train``, the rest ``test``.
 
-    Rows are ordered by a seeded hash. A histogram of 65,536 hash prefixes finds the
-    one bucket the cut falls into; only that bucket is ranked, so nothing is sorted
-    as a whole. ``key`` must be unique.
+    Rows are ordered by a seeded hash of ``key``, rows with a NULL key after all others. Rows and their place in that order
+    are stored once (at ``store``, or in the session's shared folder), so that rows of equal key, repeated or NULL, are
+    told apart by a number of their own and the cut is exact whatever the keys are.
     """
     if not 0.0 < ratio < 1.0:
         raise ValueError("ratio must be between 0 and 1")
-    hashed = pairs.withColumn("_h", F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))).withColumn(
-        "_b", F.conv(F.substring("_h", 1, 4), 16, 10).cast("int")
-    )
-    # one row per bucket: at most 65,536 rows reach the single-partition window
-    counts = hashed.groupBy("_b").agg(F.count(F.lit(1)).alias("_c"))
-    order = Window.orderBy("_b")
-    everything = Window.partitionBy(F.lit(1))
-    cut = F.floor(F.sum("_c").over(everything) * F.lit(ratio))
-    ranges = counts.select(
-        "_b", (F.sum("_c").over(order) - F.col("_c")).alias("_before"), "_c", cut.alias("_cut")
-    )
-    # bounded by the bucket count, whatever the input size
-    placed = hashed.join(F.broadcast(ranges), "_b")
-    inside = (F.col("_before") < F.col("_cut")) & (F.col("_before") + F.col("_c") > F.col("_cut"))
-    whole = placed.filter(~inside).withColumn(
-        "split", F.when(F.col("_before") < F.col("_cut"), F.lit("train")).otherwise(F.lit("test"))
-    )
-    rank = F.row_number().over(Window.partitionBy("_b").orderBy("_h", key))
-    parted = placed.filter(inside).withColumn("_r", F.col("_before") + rank).withColumn(
-        "split", F.when(F.col("_r") <= F.col("_cut"), F.lit("train")).otherwise(F.lit("test"))
-    )
-    return whole.select(*pairs.columns, "split").unionByName(parted.select(*pairs.columns, "split"))
+    hashed = F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))
+    place = F.lpad(F.hex(F.monotonically_increasing_id()), 16, "0")
+    order = F.concat(F.when(F.col(key).isNull(), F.lit("1")).otherwise(F.lit("0")), F.coalesce(hashed, F.lit("")), place)
+    path = store or shared_path(pairs.sparkSession, "split")
+    pairs.withColumn("_order", order).write.parquet(path)
+    rows = pairs.sparkSession.read.parquet(path)
+    cut = _cut_prefix(rows, math.floor(rows.count() * ratio))
+    is_train = F.col("_order") < F.lit(cut)
+    return rows.withColumn("split", F.when(is_train, F.lit("train")).otherwise(F.lit("test"))).select(*pairs.columns, "split")
 
 
 def split_totals(split: DataFrame) -> DataFrame:

@@ -23,7 +23,8 @@ def write_per_video_scores(scores: DataFrame, out: str) -> None:
     """``per_video_scores`` as Parquet with the full error lists and as flat CSV, whose layout has the first 30 errors."""
     scores.write.mode("overwrite").parquet(f"{out}/per_video_scores.parquet")
     stored = scores.sparkSession.read.parquet(f"{out}/per_video_scores.parquet")
-    _write_csv(_csv_ready(flat_report(stored, CSV_ERROR_LIMIT)), f"{out}/per_video_scores.csv")
+    in_order = flat_report(stored, CSV_ERROR_LIMIT).orderBy("video", "model", "student_path")  # files in this order, too
+    _write_csv(_csv_ready(in_order), f"{out}/per_video_scores.csv")
 
 
 def write_model_summary(summary: DataFrame, out: str) -> None:
