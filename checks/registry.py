@@ -19,6 +19,7 @@ from scenegrade.operators.score import METRICS, score_pairs
 from scenegrade.operators.validate import error_summary, with_validation
 from scenegrade.plans import gold as G
 from scenegrade.plans import leaderboard as L
+from scenegrade.plans import votes
 from scenegrade.plans.evaluate import score_tables
 from scenegrade.sources import store
 from scenegrade.sources.files import media_data_urls
@@ -168,6 +169,16 @@ def consensus_documents(spark, sf_dir):
     return G.gold_documents(stored, min_valid=4)  # some videos have fewer, some four, some five
 
 
+@query
+def incremental_votes(spark, sf_dir):
+    """The same runs merged in two batches; each votes the videos it touches again."""
+    files = D.run_texts(spark, sf_dir).select("file_name", "text")
+    path = store.shared_path(spark, "votes")
+    for batch, numbers in enumerate(["[1-4]", "5"]):
+        votes.add_runs(files.filter(F.col("file_name").rlike(f"run_0*{numbers}[.]json$")), path, batch, min_valid=4)
+    return votes.current_documents(spark, path)
+
+
 @query
 def stored_leaderboard(spark, sf_dir):
     """Names matched and models scored over stores of gold documents and results, nothing parsed after the stores."""
