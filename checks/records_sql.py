@@ -125,6 +125,13 @@ QUERIES = {
       FROM planned p WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = p.doc_id AND p.model = CASE WHEN quality = 1 THEN 'alpha-2b' ELSE 'beta' END)""",
     "teacher_run_names": """SELECT o_orderkey AS k,
         CASE WHEN o_orderkey % 6 IN (0, 1, 4) THEN concat('cam_', CAST(o_orderkey AS STRING)) END AS stem FROM orders""",
+    "pending_in_buckets": f"""WITH {_MEDIA}, planned AS (SELECT * FROM media CROSS JOIN (VALUES ('alpha-2b'), ('beta'), ('gamma_x_7b')) v(model))
+      SELECT path, model, concat(trim(regexp_replace(concat('question_', stem), '[^A-Za-z0-9._-]+', '_', 'g'), '._-'), '_', replace(model, '-', '_'), '.json') AS file_name
+      FROM planned p WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = p.doc_id AND toxic IN (0, 1)
+        AND p.model = CASE WHEN quality = 1 THEN 'alpha-2b' ELSE 'beta' END)""",
+    "listed_files": """SELECT concat(coalesce(source, 'none'), '/', coalesce(lang, 'none'), '/', CAST(doc_id AS VARCHAR), '.', kind) AS rel_path,
+        strlen(coalesce(text, '')) AS length, sha256(coalesce(text, '')) AS content_sha256, kind IN ('mp4', 'MKV') AS is_media, kind = 'json' AS is_json
+      FROM (SELECT *, CASE doc_id % 4 WHEN 0 THEN 'mp4' WHEN 1 THEN 'MKV' WHEN 2 THEN 'json' ELSE 'txt' END AS kind FROM documents)""",
     "first_media": f"WITH {_MEDIA} SELECT doc_id, path FROM media ORDER BY path LIMIT 25",
     "run_outcomes": f"""WITH {_MEDIA}
       SELECT path, run, concat(stem, '.teacher.perception_raw.run_', CAST(run AS STRING), '.json') AS file_name,

@@ -21,7 +21,7 @@ from scenegrade.plans import gold as G
 from scenegrade.plans import leaderboard as L
 from scenegrade.plans import votes
 from scenegrade.plans.evaluate import score_tables
-from scenegrade.sources import store
+from scenegrade.sources import manifest, results, store
 from scenegrade.sources.files import media_data_urls
 
 QUERIES = {}
@@ -316,6 +316,36 @@ def pending_calls(spark, sf_dir):
     return pending.select("path", "model", "file_name")
 
 
+@query
+def pending_in_buckets(spark, sf_dir):
+    """Results stored in buckets, in two batches of which one is written twice; what is still to be called."""
+    media = _media(spark, sf_dir)
+    done = media.join(D.table(spark, sf_dir, "labels"), "doc_id").selectExpr(
+        "path", "CASE WHEN quality = 1 THEN 'alpha-2b' ELSE 'beta' END AS model", "'{}' AS document", "'ok' AS status", "toxic"
+    )
+    folder = store.shared_path(spark, "results")
+    name = "results_" + folder.rsplit("-", 1)[-1]
+    results.open_results(spark, name, folder, buckets=8)
+    for batch in ("clean", "toxic", "clean"):
+        results.write_batch(done.filter(F.col("toxic") == int(batch == "toxic")), name, batch)
+    return results.pending_of(media, ["alpha-2b", "beta", "gamma_x_7b"], name).select("path", "model", "file_name")
+
+
+@query
+def listed_files(spark, sf_dir):
+    """A file for every document, written by tasks and listed level by level: kinds and sizes."""
+    folder = store.shared_path(spark, "files")
+    kind = "CASE doc_id % 4 WHEN 0 THEN 'mp4' WHEN 1 THEN 'MKV' WHEN 2 THEN 'json' ELSE 'txt' END"
+    rows = D.table(spark, sf_dir, "documents").selectExpr("doc_id", "text", f"concat(coalesce(source, 'none'), '/', coalesce(lang, 'none'), '/', CAST(doc_id AS STRING), '.', {kind}) AS name")
+    manifest.write_files(rows.select("name", F.col("text").cast("binary").alias("content")), folder)
+    files = manifest.manifest(spark, folder)
+    read = manifest.with_content(manifest.below(files)).selectExpr("rel_path", "length", "decode(content, 'UTF-8') AS text")
+    media = manifest.media_of(files).selectExpr("rel_path", "true AS is_media")
+    return read.join(media, "rel_path", "left").selectExpr(
+        "rel_path", "length", "sha2(text, 256) AS content_sha256", "coalesce(is_media, false) AS is_media", "endswith(rel_path, '.json') AS is_json"
+    )
+
+
 @query
 def planned_runs(spark, sf_dir):
     return calls_ops.planned_runs(_media(spark, sf_dir), 5).select("path", "run", "file_name")

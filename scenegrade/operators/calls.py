@@ -1,5 +1,10 @@
 """Bookkeeping of batch model calls: what is pending, what came back, what to store."""
 
+import hashlib
+import json
+import uuid
+
+import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from scenegrade.functions import json_docs as J
@@ -142,19 +147,63 @@ def token_usage(calls: DataFrame) -> DataFrame:
     )
 
 
-def batch_call(pending: DataFrame, model_call, partitions: int | None = None) -> DataFrame:
+def _answer_path(answers: str, row, key) -> str:
+    name = hashlib.sha256(json.dumps([str(row[k]) for k in key]).encode()).hexdigest()
+    return f"{answers}/{name[:2]}/{name}.json"
+
+
+def _stored_answer(system, path: str):
+    from pyarrow import fs
+
+    if system.get_file_info(path).type != fs.FileType.File:
+        return None
+    with system.open_input_file(path) as file:
+        return json.loads(file.read())
+
+
+def _store_answer(system, path: str, answer: dict) -> None:
+    """Written under another name first: an answer is there whole or not at all."""
+    system.create_dir(path.rpartition("/")[0], recursive=True)
+    partial = f"{path}.{uuid.uuid4().hex}"
+    with system.open_output_stream(partial) as out:
+        out.write(json.dumps(answer).encode())
+    system.move(partial, path)
+
+
+def batch_call(pending: DataFrame, model_call, partitions: int | None = None, answers: str | None = None, key=("path", "model")) -> DataFrame:
     """Run a user function over pending calls, one Arrow batch at a time.
 
     ``model_call(pandas.DataFrame) -> pandas.DataFrame`` returns ``response_text``,
     ``elapsed_s`` and ``usage`` for each row; it holds its own client. ``partitions``
     bounds how many calls run side by side.
+
+    With ``answers``, a folder that all executors share, the answers of a batch are stored there under their call's ``key``
+    before the task goes on. A task that is tried again, or another run over the same calls, reads them instead of
+    calling again; only the calls of the batch that failed are repeated.
     """
     spread = pending if partitions is None else pending.repartition(partitions)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pending.schema.fields)
+    columns = ["response_text", "elapsed_s", "usage"]
+
+    def answered(batch):
+        if answers is None:
+            return model_call(batch)[columns]
+        from pyarrow import fs
+
+        system, folder = fs.FileSystem.from_uri(answers if ":/" in answers else "file://" + answers)
+        paths = [_answer_path(folder, row, key) for row in batch.to_dict("records")]
+        known = [_stored_answer(system, path) for path in paths]
+        open_calls = [k for k, answer in enumerate(known) if answer is None]
+        if open_calls:
+            made = model_call(batch.iloc[open_calls].reset_index(drop=True))[columns].to_dict("records")
+            for k, answer in zip(open_calls, made):
+                known[k] = {**answer, "usage": None if answer["usage"] is None else {n: int(v) for n, v in dict(answer["usage"]).items()}}
+                _store_answer(system, paths[k], known[k])
+        return pd.DataFrame(known, columns=columns)
 
     def run(batches):
         for batch in batches:
-            answers = model_call(batch)
-            yield batch.assign(**{c: answers[c].to_numpy() for c in ("response_text", "elapsed_s", "usage")})
+            got = answered(batch)
+            yield batch.assign(**{c: got[c].to_numpy() for c in columns})
 
     return spread.mapInPandas(run, f"{fields}, {CALL_RESULT}")
