@@ -76,14 +76,14 @@ vehicle AS (
   SELECT *, row_number() OVER (PARTITION BY k, m ORDER BY n, p, s, e) - 1 AS i FROM (
     SELECT k, m, n, p, s, e, bad, {R.VEHICLE_TYPE_AS_NUMBER} AS type_is_number, {R.VEHICLE_EVENT_TYPE} AS event_type,
       {R.VEHICLE_INVOLVED} AS involved, {R.VEHICLE_RISK} AS risk, {R.VEHICLE_DESCRIPTION} AS description,
-      CAST({R.VEHICLE_CONFIDENCE} AS DOUBLE) AS conf, {R.VEHICLE_COUNT_AS_STRING} AS count_is_string, {R.VEHICLE_COUNT} AS cnt
+      CASE WHEN {R.VEHICLE_CONFIDENCE_MISSING} THEN NULL ELSE CAST({R.VEHICLE_CONFIDENCE} AS DOUBLE) END AS conf, {R.VEHICLE_COUNT_AS_STRING} AS count_is_string, {R.VEHICLE_COUNT} AS cnt
     FROM doc_lines WHERE NOT {R.VEHICLE_DROPPED})
 ),
 pedestrian AS (
   SELECT *, row_number() OVER (PARTITION BY k, m ORDER BY n, p, s, e) - 1 AS i FROM (
     SELECT k, m, n, p, s, e, bad, {R.PEDESTRIAN_BEHAVIOR} AS behavior, {R.PEDESTRIAN_LOCATION} AS location,
       {R.PEDESTRIAN_INTERACTION} AS interaction, {R.PEDESTRIAN_RISK} AS risk,
-      CAST({R.PEDESTRIAN_CONFIDENCE} AS DOUBLE) AS conf, {R.PEDESTRIAN_COUNT} AS cnt
+      CASE WHEN {R.PEDESTRIAN_CONFIDENCE_MISSING} THEN NULL ELSE CAST({R.PEDESTRIAN_CONFIDENCE} AS DOUBLE) END AS conf, {R.PEDESTRIAN_COUNT} AS cnt
     FROM doc_lines WHERE NOT {R.PEDESTRIAN_DROPPED} AND NOT {R.NO_PEDESTRIANS})
 )"""
 
@@ -288,10 +288,16 @@ tags AS (
       ELSE 'bad_conf:' || cp.path || '=' || CAST(conf AS VARCHAR) END
     FROM cells c JOIN conf_paths cp ON cp.f = c.f WHERE conf IS NULL OR conf > 1
   UNION ALL SELECT k, m, 4, i, 0, 'missing_conf:traffic_status[' || i || '].status.confidence' FROM lanes
+  UNION ALL SELECT k, m, 4.3, i, 0, CASE WHEN conf IS NULL THEN 'missing_conf:vehicle_events[' || i || '].confidence'
+      ELSE 'bad_conf:vehicle_events[' || i || '].confidence=' || CAST(conf AS VARCHAR) END FROM vehicle WHERE conf IS NULL OR conf > 1
+  UNION ALL SELECT k, m, 4.6, i, 0, CASE WHEN conf IS NULL THEN 'missing_conf:pedestrian_events[' || i || '].confidence'
+      ELSE 'bad_conf:pedestrian_events[' || i || '].confidence=' || CAST(conf AS VARCHAR) END FROM pedestrian WHERE conf IS NULL OR conf > 1
   UNION ALL SELECT c.k, c.m, 5, pos, 0, 'missing_enum:' || ep.path FROM cells c JOIN enum_paths ep ON ep.f = c.f WHERE val IS NULL
   UNION ALL SELECT k, m, 6, i, 0, 'missing_enum:traffic_status[' || i || '].status.value' FROM lanes WHERE status IS NULL
   UNION ALL SELECT k, m, 6, i, 1, 'missing_enum:traffic_status[' || i || '].vehicle_density.value' FROM lanes WHERE density IS NULL
+  UNION ALL SELECT k, m, 6, i, 1, 'bad_enum:traffic_status[' || i || '].vehicle_density.value=packed' FROM lanes WHERE density = 'packed'
   UNION ALL SELECT k, m, 7, i, 0, 'bad_enum:vehicle_events[' || i || '].event_type=7' FROM vehicle WHERE type_is_number
+  UNION ALL SELECT k, m, 8, i, 0, 'bad_enum:pedestrian_events[' || i || '].interaction_with_vehicles=odd' FROM pedestrian WHERE interaction = 'odd'
 ),
 validation AS (
   SELECT d.k, d.m, d.video_id, d.bad, NOT d.bad AS parse_ok,

@@ -121,7 +121,7 @@ def _vehicle_events():
         _key("description", _quoted(R.VEHICLE_DESCRIPTION)),
         _key("involved_vehicle_type", _quoted(R.VEHICLE_INVOLVED)),
         _key("risk_level", _quoted(R.VEHICLE_RISK)),
-        _key("confidence", R.VEHICLE_CONFIDENCE),
+        f"CASE WHEN {R.VEHICLE_CONFIDENCE_MISSING} THEN NULL ELSE {_key('confidence', R.VEHICLE_CONFIDENCE)} END",
         _key("count", count),
     )
     return _per_line(item, R.VEHICLE_DROPPED)
@@ -133,7 +133,7 @@ def _pedestrian_events():
         _key("location", _quoted(R.PEDESTRIAN_LOCATION)),
         _key("interaction_with_vehicles", _quoted(R.PEDESTRIAN_INTERACTION)),
         _key("risk_level", _quoted(R.PEDESTRIAN_RISK)),
-        _key("confidence", R.PEDESTRIAN_CONFIDENCE),
+        f"CASE WHEN {R.PEDESTRIAN_CONFIDENCE_MISSING} THEN NULL ELSE {_key('confidence', R.PEDESTRIAN_CONFIDENCE)} END",
         _key("count", f"CAST({R.PEDESTRIAN_COUNT} AS STRING)"),
     )
     return _per_line(item, R.PEDESTRIAN_DROPPED)

@@ -177,7 +177,9 @@ LANE_ID_AS_STRING = "(m > 0 AND (p + s + m) % 41 = 0)"
 LANE_STATUS_MISSING = "((s + m) % 17 = 0)"
 LANE_STATUS = pick(f"p + {flag('m > 0 AND (p + m) % 5 = 0')}", S.LANE_ENUMS["status"])
 LANE_DENSITY_MISSING = "((p + m * 2) % 19 = 0)"
-LANE_DENSITY = pick(f"s + {flag('m > 0 AND (s + m) % 6 = 0')}", S.LANE_ENUMS["vehicle_density"])
+LANE_DENSITY_WRONG = "(m > 0 AND (p * 2 + s + m) % 43 = 0)"  # a density that is none
+_DENSITY = pick(f"s + {flag('m > 0 AND (s + m) % 6 = 0')}", S.LANE_ENUMS["vehicle_density"])
+LANE_DENSITY = f"CASE WHEN {LANE_DENSITY_WRONG} THEN 'packed' ELSE {_DENSITY} END"
 LANE_STATUS_CONFIDENCE = hundredths("p * 3 + s + m * 7")
 LANE_DENSITY_CONFIDENCE = hundredths("p + s * 3 + m * 5")
 
@@ -187,14 +189,17 @@ VEHICLE_EVENT_TYPE = pick("p", S.VEHICLE_EVENT_ENUMS["event_type"])
 VEHICLE_INVOLVED = pick("s", S.VEHICLE_EVENT_ENUMS["involved_vehicle_type"])
 VEHICLE_RISK = pick(f"p + s + {flag('m > 0 AND (p + s * 2 + m) % 9 = 0')}", S.RISK_LEVELS)
 VEHICLE_DESCRIPTION = "concat('case ', CAST((p + m) % 3 AS STRING))"
-VEHICLE_CONFIDENCE = hundredths("p + s + m")
+VEHICLE_CONFIDENCE_MISSING = "(m > 0 AND (p * 7 + s + m) % 31 = 0)"
+VEHICLE_CONFIDENCE = f"CASE WHEN m > 0 AND (p + s * 3 + m) % 37 = 0 THEN '1.5' ELSE {hundredths('p + s + m')} END"
 VEHICLE_COUNT_AS_STRING = "((p + m) % 17 = 0)"
 VEHICLE_COUNT = f"(CASE WHEN p % 13 = 0 THEN 0 ELSE q + {flag('m > 0 AND (s + m) % 6 = 0')} END)"
 
 PEDESTRIAN_DROPPED = "(m > 0 AND (s * 5 + m * 3) % 11 = 0)"
 PEDESTRIAN_BEHAVIOR = pick("s", S.PEDESTRIAN_EVENT_ENUMS["behavior"])
 PEDESTRIAN_LOCATION = pick("p", S.PEDESTRIAN_EVENT_ENUMS["location"])
-PEDESTRIAN_INTERACTION = pick("p + s", S.PEDESTRIAN_EVENT_ENUMS["interaction_with_vehicles"])
+PEDESTRIAN_INTERACTION_WRONG = "(m > 0 AND (p + s * 2 + m) % 29 = 0)"  # an interaction that is none
+PEDESTRIAN_INTERACTION = f"CASE WHEN {PEDESTRIAN_INTERACTION_WRONG} THEN 'odd' ELSE {pick('p + s', S.PEDESTRIAN_EVENT_ENUMS['interaction_with_vehicles'])} END"
 PEDESTRIAN_RISK = pick(f"p + {flag('m > 0 AND (p + m) % 7 = 0')}", S.RISK_LEVELS)
-PEDESTRIAN_CONFIDENCE = hundredths("p * 7 + s + m")
+PEDESTRIAN_CONFIDENCE_MISSING = "(m > 0 AND (p + s * 5 + m) % 41 = 0)"
+PEDESTRIAN_CONFIDENCE = f"CASE WHEN m > 0 AND (p * 3 + s + m) % 33 = 0 THEN '2.5' ELSE {hundredths('p * 7 + s + m')} END"
 PEDESTRIAN_COUNT = f"(n + {flag('m > 0 AND (p + m) % 6 = 0')})"
