@@ -1,6 +1,5 @@
 """Helpers that the operators of this subpackage share."""
 
-import tempfile
 import uuid
 
 import numpy as np
@@ -22,19 +21,27 @@ def configure(spark: SparkSession) -> SparkSession:
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder name in the storage that driver and executors share (`spark.checkpoint.dir`).
-
-    Only a local master may go without the setting; it then gets a temporary folder of this machine.
-    """
+    """A new folder name in the storage that driver and executors share, which the session names in `spark.checkpoint.dir`."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-        root = "file://" + tempfile.mkdtemp(prefix="llm-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def forget(spark: SparkSession, before: set[str]) -> None:
+    """Removes what has come into the shared folder since `stored_names` gave `before`: the intermediates of a run whose
+    result is stored elsewhere. Not for folders that other jobs write to at the same time."""
+    for name in stored_names(spark) - before:
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{spark.conf.get('spark.checkpoint.dir').rstrip('/')}/{name}")
+        path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
+def stored_names(spark: SparkSession) -> set[str]:
+    root = spark._jvm.org.apache.hadoop.fs.Path(spark.conf.get("spark.checkpoint.dir"))
+    system = root.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    return {f.getPath().getName() for f in system.listStatus(root)} if system.exists(root) else set()
+
+
 def stored(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     """`df` written as Parquet to shared storage and read again: lineage ends here, lost executors lose nothing."""
     path = path or shared_folder(df.sparkSession, name)

@@ -32,29 +32,38 @@ def roles(pages: DataFrame, least: int = LEAST_REVISIT) -> DataFrame:
     return out.withColumn("refers_to", F.when(~F.col("page_id").eqNullSafe(F.col("response")), F.col("response"))).drop("response")
 
 
-def record(page_id, url, payload: bytes, digest: str, refers_to) -> bytes:
-    """One record as its own gzip member. A revisit has an empty block and names the response and the full digest."""
+HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n"
+
+
+def name_of(page_id, digest: str, place: str) -> str:
+    """URN of a record: the page, and the place of the record, so that rows with equal ids have records of their own."""
+    return f"<urn:page:{'' if page_id is None else page_id}:{digest[:16]}{place}>"
+
+
+def record(page_id, url, payload: bytes, digest: str, refers_to, place: str = "") -> bytes:
+    """One record as its own gzip member: the HTTP response with the payload, or for a revisit no block, but the page and
+    full digest of the response. `place` tells records of equal pages apart."""
     kind = "response" if refers_to is None else "revisit"
-    block = payload if refers_to is None else b""
+    block = HTTP % len(payload) + payload if refers_to is None else b""
     head = [
-        "WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:page:{'' if page_id is None else page_id}>",
+        "WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: {name_of(page_id, digest, place)}",
         "WARC-Date: 1970-01-01T00:00:00Z", f"WARC-Payload-Digest: sha256:{digest}",
     ]
     if url is not None:
         head.append("WARC-Target-URI: " + CONTROLS.sub(lambda m: f"%{ord(m[0]):02X}", url))
     if refers_to is not None:
-        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <urn:page:{refers_to}>"]
-    head += ["Content-Type: text/html", f"Content-Length: {len(block)}", "", ""]
+        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {name_of(refers_to, digest, '')}"]
+    head += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}", "", ""]
     packer = zlib.compressobj(1, zlib.DEFLATED, 31)
     return packer.compress("\r\n".join(head).encode() + block + b"\r\n\r\n") + packer.flush()
 
 
 def parse(data: bytes) -> tuple[dict, bytes]:
-    """Headers and block of one gzip member."""
+    """Headers and payload of one gzip member; a revisit has no payload."""
     raw = zlib.decompress(data, 31)
     head, _, rest = raw.partition(b"\r\n\r\n")
     fields = dict(line.split(": ", 1) for line in head.decode().split("\r\n")[1:])
-    return fields, rest[: int(fields["Content-Length"])]
+    return fields, rest[: int(fields["Content-Length"])].partition(b"\r\n\r\n")[2]
 
 
 INDEX = "page_id bigint, url string, archive string, offset bigint, length bigint, payload_bytes bigint, payload_digest string, record_type string"
@@ -70,6 +79,7 @@ def write_archives(pages: DataFrame, folder: str, archive_bytes: int = ARCHIVE_B
 
     def run(batches):
         part, out, path, size = TaskContext.get().partitionId(), None, None, 0
+        seen: set = set()  # of the archive at hand
         for batch in batches:
             made = []
             ids, urls, digests, refers = (batch.column(c).to_pylist() for c in ("page_id", "url", "payload_digest", "refers_to"))
@@ -79,10 +89,14 @@ def write_archives(pages: DataFrame, folder: str, archive_bytes: int = ARCHIVE_B
                     if out:
                         out.close()
                     path, size = f"{folder}/part-{part:06d}-{uuid.uuid4().hex}.warc.gz", 0
+                    seen.clear()
                     fs, name = open_storage(path)
                     fs.create_dir(name.rpartition("/")[0], recursive=True)
                     out = fs.open_output_stream(name, compression=None)
-                data = record(page_id, urls[k], payloads[k].as_py(), digests[k], refers[k])
+                again = (page_id, digests[k]) in seen
+                seen.add((page_id, digests[k]))
+                place = f":{uuid.uuid4().hex}" if again or page_id is None else ""
+                data = record(page_id, urls[k], payloads[k].as_py(), digests[k], refers[k], place)
                 out.write(data)
                 made.append((path, size, len(data), "response" if refers[k] is None else "revisit"))
                 size += len(data)
@@ -117,7 +131,8 @@ def read_records(index: DataFrame) -> DataFrame:
     rows = index.select("archive", "offset", "length").repartitionByRange(tasks_for(index), "archive", "offset").sortWithinPartitions("archive", "offset")
 
     def number(name):
-        return int(name[10:-1]) if name and len(name) > 11 else None
+        page = name.removeprefix("<urn:page:").partition(":")[0] if name else ""
+        return int(page) if page else None
 
     def run(batches):
         file, path = None, None

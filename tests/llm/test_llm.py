@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from scenegrade.llm import chat_format, language_id, near_dedup, packing, quality_rules, token_blocks, url_filter, warc
 from scenegrade.llm import sentencepiece_viterbi as sp
-from scenegrade.llm.common import configure, pick
+from scenegrade.llm.common import configure, forget, pick, stored, stored_names
 from scenegrade.llm.exact_dedup import drop_exact_duplicates, exact_duplicates
 from scenegrade.llm.queries import tokenizer_file
 
@@ -476,10 +476,21 @@ def test_warc_round_trip(spark):
         assert (r["payload_bytes"], r["payload_digest"]) == (len(html.encode()), hashlib.sha256(html.encode()).hexdigest())
         assert (r["record_type"], r["refers_to"]) == (("revisit", 3) if r["page_id"] in (5, 9) else ("response", None))
     assert warc.archive_digests(df.limit(0)).count() == 0
+    fields, payload = warc.parse(warc.record(5, "u", b"<p>\r\n\r\n</p>", "ab" * 32, None))
+    assert payload == b"<p>\r\n\r\n</p>" and fields["Content-Type"].startswith("application/http")
+    assert warc.parse(warc.record(5, "u", b"", "ab" * 32, 3))[0]["WARC-Refers-To"] == warc.parse(warc.record(3, "u", b"x", "ab" * 32, None))[0]["WARC-Record-ID"]
     assert warc.ranges([0, 10, 500, 510], [10, 10, 10, 10], gap=5, most=100) == [(0, 2), (2, 4)]
     assert warc.ranges([0, 10, 20], [10, 10, 10], gap=5, most=20) == [(0, 2), (2, 3)]
 
 
+def test_intermediates_are_forgotten(spark):
+    before = stored_names(spark)
+    stored(spark.range(3), "kept").count()
+    assert len(stored_names(spark) - before) == 1
+    forget(spark, before)
+    assert stored_names(spark) == before
+
+
 def test_url_rules(spark):
     rules = spark.createDataFrame([("com", "/en/", "block"), ("Example.COM", "/en/7", "allow"), ("net", None, "block"), ("net", "", "allow"), ("", "/", "block"), ("x.org", "/", "odd")], "host string, path string, verdict string")
     urls = {"http://a.example.com/en/71?q": ("example.com/en/7", "allow"), "https://A.COM/en/": ("com/en/", "block"), "com/en/": (None, "allow"), "x://com": (None, "allow"),
