@@ -8,7 +8,7 @@ from scenegrade.llm.common import pick, table
 from scenegrade.llm.exact_dedup import exact_duplicates
 
 URL_RULES = [
-    ("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "block"),
+    ("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"),
     ("example.net", "/de/8", "block"), ("org", "/es/", "block"),
 ]
 
