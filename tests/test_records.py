@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from scenegrade.functions import names as N
 from scenegrade.functions.responses import first_json_object
+from scenegrade.operators import naming
 from scenegrade.operators import trainset as T
 from scenegrade.operators.naming import match_students
 
@@ -41,6 +42,26 @@ def test_one_file_matches_several_ids(spark):
     assert rows == {("a", "b_qwen_8B"), ("a_b", "qwen_8B")}
 
 
+def test_a_hot_reading_is_split(spark, monkeypatch):
+    """A reading of most names that passes the filter of the ids, which is full, does not stay in one task."""
+    monkeypatch.setattr(naming, "WORDS", 1)
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1", "spark.sql.shuffle.partitions": "20",
+                "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "2k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "1k"}
+    before = {k: spark.conf.get(k, None) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        ids = spark.range(0, 2000, 1, 4).selectExpr("concat('cam_', id) AS video_id")
+        files = ids.selectExpr("concat('/r/question_', video_id, '_m.json') AS path", "concat('question_', video_id, '_m.json') AS file_name")
+        matched = match_students(files, ids)
+        found = {(r["video_id"], r["model"]) for r in matched.collect()}
+        assert found == {(f"cam_{k}", "m") for k in range(2000)}
+        assert "skew=true" in matched._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def test_exact_split(spark):
     counts = T.exact_split(spark.range(10).selectExpr("CAST(id AS STRING) AS stem"), 0.8).groupBy("split").count()
     assert {r.split: r["count"] for r in counts.collect()} == {"train": 8, "test": 2}
