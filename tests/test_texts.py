@@ -1,10 +1,14 @@
-"""Texts of the document fixtures, made with constant lists."""
+"""Texts of the document fixtures, made with constant lists, and flags of runs read without their objects."""
+
+import json
 
 import pytest
 from pyspark.sql import functions as F
 
 from scenegrade.fixtures import documents as D
 from scenegrade.fixtures import rules as R
+from scenegrade.functions import json_docs as J
+from scenegrade.operators import consensus as C
 
 DOMAIN = ["car", "truck", "bus"]
 MADE = {  # what the documents spell with a list, and the rule it must agree with
@@ -44,3 +48,20 @@ def test_lists_spell_what_the_rules_say(spark, name):
 def test_a_text_repeats_no_index_in_branches():
     """The domains were spelled as a CASE that repeats its index at every place."""
     assert D._text().count("WHEN 3 THEN") == 0
+
+
+def test_validity_of_runs_needs_no_object(spark):
+    texts = [
+        json.dumps({"road_composition": {}}), json.dumps({"error": "x"}), json.dumps({"error": None}), " \n{} ", "[{}]",
+        json.dumps({"error": 1, "road_composition": None}), '{"a": 1} x', '{"error": 1', '[{"error": 1}]', "{}, {}", None, "",
+    ]
+    names = [f"v.teacher.perception_raw.run_{i}.json" for i in range(len(texts))]
+    files = C.gather_runs(spark.createDataFrame(list(zip(names, texts)), "file_name string, text string"))
+    lean = C.with_validity(J.parse_documents(files, present=C.VALIDITY_KEYS))
+    full = C.with_validity(J.parse_documents(files))
+    assert lean.columns == full.columns
+    shown = [[tuple(r) for r in x.select("run", "valid", "reject_reason", "parse_ok").orderBy("run").collect()] for x in (lean, full)]
+    assert shown[0] == shown[1]
+    assert [r[0] for r in shown[0] if r[1]] == [0, 3, 5]
+    plan = C.run_gate(lean)._jdf.queryExecution().optimizedPlan().toString()
+    assert "$[0], VariantType" not in plan and "$[0].error" in plan
