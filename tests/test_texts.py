@@ -65,3 +65,28 @@ def test_validity_of_runs_needs_no_object(spark):
     assert [r[0] for r in shown[0] if r[1]] == [0, 3, 5]
     plan = C.run_gate(lean)._jdf.queryExecution().optimizedPlan().toString()
     assert "$[0], VariantType" not in plan and "$[0].error" in plan
+
+
+def test_names_of_runs_tell_how_positions_are_packed_without_a_text(spark):
+    names = [f"a.teacher.perception_raw.run_{n}.json" for n in ("1", "02", "3")]
+    files = spark.createDataFrame([(n,) for n in names], "file_name string")
+    unread = files.withColumn("text", F.concat("file_name", F.raise_error(F.lit("a text was made"))))
+    runs = C.with_validity(J.parse_documents(C.gather_runs(unread)))
+    assert dict(C.consensus(runs, ["risk"], names=files).dtypes)["members"] == "array<string>"  # no text was made for it
+    long_number = files.unionByName(spark.sql("SELECT 'a.teacher.perception_raw.run_1234567890.json' AS file_name"))
+    assert C.packs(C.gather_runs(files)) and not C.packs(C.gather_runs(long_number))
+
+    risk = '{"road_composition":{},"Risk Assessment":[{"overall_risk_assessment":{"main_risk_factors":["%s"]}}]}'
+    texts = long_number.withColumn("text", F.format_string(risk, F.col("file_name").substr(30, 2)))
+    runs = C.with_validity(J.parse_documents(C.gather_runs(texts)))
+    named, read = C.consensus(runs, ["risk"], names=long_number), C.consensus(runs, ["risk"])
+    assert [row.members for row in named.collect()] == [row.members for row in read.collect()] == [["1.", "02", "3.", "12"]]
+
+
+def test_run_names_are_those_of_the_texts(spark, tmp_path):
+    lines = "k AS l_orderkey, n AS l_linenumber, 7L AS l_partkey, 5L AS l_suppkey, 1.5D AS l_extendedprice, 2D AS l_quantity"
+    spark.sql("SELECT col1 AS o_orderkey FROM VALUES (1L), (1L), (2L), (NULL)").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.sql(f"SELECT {lines} FROM VALUES (1L, 1), (1L, 2), (NULL, 1) AS t(k, n)").write.parquet(f"{tmp_path}/lineitem.parquet")
+    columns = ["stem", "run", "file_name"]
+    found = [sorted(map(str, f(spark, str(tmp_path)).select(columns).collect())) for f in (D.run_names, D.run_texts)]
+    assert found[0] == found[1] and len(found[0]) == 20
